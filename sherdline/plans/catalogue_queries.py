@@ -76,13 +76,13 @@ def custom_filter(src):
     return src("fragments_v").filter(cat.custom_predicate(wanted, ["museum", "empty"])).select("id", "museum")
 
 
-@query("filter_client", "B5", """SELECT id, line_count, script_type FROM fragments_v
+@query("filter_client", "B5", """SELECT id, line_count, script_type FROM (SELECT *, CASE WHEN id % 21 = 0 THEN NULL ELSE 1 END AS created_at FROM fragments_v) q
 WHERE (line_count IS NULL OR line_count >= 4) AND (line_count IS NULL OR line_count <= 9)
-AND script_type IN ('South Turkestan Brahmi', 'Turkestan Gupta Type') AND edge_piece IS NOT DISTINCT FROM false""")
+AND script_type IN ('South Turkestan Brahmi', 'Turkestan Gupta Type') AND edge_piece IS NOT DISTINCT FROM false AND created_at IS NOT NULL""")
 def filter_client(src):
     return cat.filter_client(
         src("fragments_v"), 4, 9, ["South Turkestan Brahmi", "Turkestan Gupta Type"], False,
-        has_metadata=F.lit(True),
+        has_metadata=F.col("id") % 21 != 0,
     ).select("id", "line_count", "script_type")
 
 
