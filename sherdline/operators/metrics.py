@@ -98,7 +98,7 @@ def has_matches(matches: DataFrame) -> DataFrame:
 
 def run_report(run: DataFrame, evaluation: DataFrame, max_hours: float = 1.15, min_success: float = 0.99) -> DataFrame:
     """``run`` has one row ``elapsed_seconds``; ``evaluation`` one row ``total, required_ok``."""
-    joined = run.withColumn("one", F.lit(1)).join(evaluation.withColumn("one", F.lit(1)), "one")
+    joined = evaluation.withColumn("elapsed_seconds", run.select("elapsed_seconds").scalar())
     hours = F.coalesce("elapsed_seconds", F.lit(0.0)) / 3600
     success = ratio(F.col("required_ok").cast("double"), F.col("total"))
     return joined.select(

@@ -115,9 +115,8 @@ def completeness(fragments: DataFrame, ids: DataFrame, required: Sequence[str],
         F.count_if(complete).alias("required_ok"),
         *[F.count_if(gap).alias(f"missing_{f}") for f, gap in gaps.items()],
     )
-    total = ids.agg(F.count(F.lit(1)).alias("total"))
-    # two one-row aggregates side by side
-    return total.withColumn("one", F.lit(1)).join(counted.withColumn("one", F.lit(1)), "one").drop("one")
+    total = ids.agg(F.count(F.lit(1)))
+    return counted.withColumn("total", total.scalar())
 
 
 def status_counts(fragments: DataFrame, ids: DataFrame) -> DataFrame:

@@ -52,10 +52,10 @@ def rejected_updates(src):
 
 
 @query("update_rotations", "C2", """SELECT f.id, CASE WHEN r.rotation IS NOT NULL AND f.id % 10 <> 3 THEN round(r.rotation - floor(r.rotation / 360) * 360, 6) ELSE ui_rotation END AS ui_rotation
-FROM fragments_v f LEFT JOIN (SELECT l_partkey, arg_max(l_extendedprice / 10 - 4000, l_orderkey * 8 + l_linenumber) AS rotation FROM lineitem GROUP BY l_partkey) r ON r.l_partkey = f.id""")
+FROM fragments_v f LEFT JOIN (SELECT l_partkey, arg_max(l_extendedprice / 10 - 4000, lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || l_linenumber || '-' || l_suppkey) AS rotation FROM lineitem GROUP BY l_partkey) r ON r.l_partkey = f.id""")
 def update_rotations(src):
     turns = src.spark.sql(
-        """SELECT fragment_id, l_orderkey * 8 + l_linenumber AS edit_no,
+        """SELECT fragment_id, lpad(CAST(l_orderkey AS STRING), 12, '0') || l_linenumber || '-' || l_suppkey AS edit_no,
         CASE WHEN f.id % 10 = 3 THEN CAST('NaN' AS DOUBLE) ELSE l_extendedprice / 10 - 4000 END AS rotation
         FROM {lineitem} JOIN {fragments_v} f ON f.id = l_partkey""",
         lineitem=src("lineitem"), fragments_v=src("fragments_v"),

@@ -63,7 +63,7 @@ FROM {fragments_v} f LEFT JOIN {documents} d ON d.doc_id = f.id LEFT JOIN {order
 """
 
 _MATCHES = """
-SELECT l_orderkey * 8 + l_linenumber AS match_id, a.fragment_id AS fragment_a_id, b.fragment_id AS fragment_b_id,
+SELECT CAST(l_orderkey AS VARCHAR(20)) || '-' || CAST(l_linenumber AS VARCHAR(20)) || '-' || CAST(l_partkey AS VARCHAR(20)) || '-' || CAST(l_suppkey AS VARCHAR(20)) AS match_id, l_orderkey * 8 + l_linenumber AS line_no, a.fragment_id AS fragment_a_id, b.fragment_id AS fragment_b_id,
   CASE WHEN l_linenumber % 4 = 0 THEN 'left' WHEN l_linenumber % 4 = 1 THEN 'right' WHEN l_linenumber % 4 = 2 THEN 'top' ELSE 'bottom' END
     || '_seg' || CAST(l_linenumber AS VARCHAR(20)) AS edge_a_name,
   CASE WHEN l_suppkey % 4 = 0 THEN 'left' WHEN l_suppkey % 4 = 1 THEN 'right' WHEN l_suppkey % 4 = 2 THEN 'top' ELSE 'bottom' END
@@ -80,7 +80,7 @@ JOIN {fragments_v} b ON b.id = CASE WHEN l_partkey > l_suppkey THEN l_partkey -
 """
 
 _DETECTIONS = """
-SELECT l_orderkey AS image_id, l_linenumber AS det_no, l_orderkey * 8 + l_linenumber AS det_id,
+SELECT l_orderkey AS image_id, l_linenumber AS det_no, CAST(l_orderkey AS VARCHAR(20)) || '-' || CAST(l_linenumber AS VARCHAR(20)) || '-' || CAST(l_partkey AS VARCHAR(20)) || '-' || CAST(l_suppkey AS VARCHAR(20)) AS det_id,
   round(l_extendedprice / 1000, 3) AS x1, l_quantity * 10 AS y1,
   round(l_extendedprice / 1000 + 20 + l_tax * 100, 3) AS x2, l_quantity * 10 + 15 AS y2,
   round(CASE WHEN l_discount * 10 > 1 THEN 1 ELSE l_discount * 10 END, 4) AS confidence,
@@ -118,7 +118,7 @@ SELECT o_orderkey AS id, 'project ' || o_orderpriority AS project_name, o_orderd
 """
 
 _PROJECT_FRAGMENTS = """
-SELECT l_orderkey * 8 + l_linenumber AS row_id, l_orderkey AS project_id,
+SELECT CAST(l_orderkey AS VARCHAR(20)) || '-' || CAST(l_linenumber AS VARCHAR(20)) || '-' || CAST(l_partkey AS VARCHAR(20)) || '-' || CAST(l_suppkey AS VARCHAR(20)) AS row_id, l_orderkey AS project_id,
   CASE WHEN l_suppkey % 10 = 3 THEN 'gone' || CAST(l_partkey AS VARCHAR(20)) ELSE f.fragment_id END AS fragment_id,
   l_quantity * 10 AS x, l_tax * 1000 AS y, l_quantity * 4 AS width, l_quantity * 3 AS height,
   l_discount * 100 AS rotation, 1 + l_tax AS scale_x, 1 + l_discount AS scale_y, l_linenumber AS z_index
