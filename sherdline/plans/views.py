@@ -166,11 +166,12 @@ def _ring(axis: str, index: str) -> str:
 
 
 # Closed contours, one row per fragment, whole-pixel points; 360 to 423 points each.
+# The arrays sit behind a one-element explode, so later array functions read them instead of folding
+# the formula into every lambda.
 _CONTOURS = {
-    "spark": f"""SELECT id, fragment_id, image_width, image_height, scale_unit, pixels_per_unit, line_count, script_type,
-  transform(sequence(0, CAST(360 + id % 64 AS INT) - 1), i -> {_ring('x', 'i')}) AS xs,
-  transform(sequence(0, CAST(360 + id % 64 AS INT) - 1), i -> {_ring('y', 'i')}) AS ys
-FROM {{fragments_v}}""",
+    "spark": f"""SELECT id, fragment_id, image_width, image_height, scale_unit, pixels_per_unit, line_count, script_type, c.xs AS xs, c.ys AS ys
+FROM (SELECT *, explode(array(named_struct('xs', transform(sequence(0, CAST(360 + id % 64 AS INT) - 1), i -> {_ring('x', 'i')}),
+  'ys', transform(sequence(0, CAST(360 + id % 64 AS INT) - 1), i -> {_ring('y', 'i')})))) AS c FROM {{fragments_v}})""",
     "duck": """SELECT id, fragment_id, image_width, image_height, scale_unit, pixels_per_unit, line_count, script_type,
   CAST(360 + id % 64 AS BIGINT) AS n FROM fragments_v""",
 }
@@ -230,6 +231,9 @@ VIEWS: dict[str, str | dict[str, str]] = {
 }
 
 
+SPREAD = {"contours_v", "edges_v"}  # views that build much data from each input row
+
+
 def _text(name: str, dialect: str) -> str:
     view = VIEWS[name]
     return view if isinstance(view, str) else view[dialect]
@@ -249,7 +253,11 @@ class Source:
                 frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             else:
                 text = _text(name, "spark")
-                frame = self.spark.sql(text, **{n: self(n) for n in set(re.findall(r"\{(\w+)\}", text))})
+                inputs = {n: self(n) for n in set(re.findall(r"\{(\w+)\}", text))}
+                if name in SPREAD:  # the supplied files are one split each
+                    tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+                    inputs = {n: f.repartition(tasks) for n, f in inputs.items()}
+                frame = self.spark.sql(text, **inputs)
             self._frames[name] = frame
         return self._frames[name]
 
