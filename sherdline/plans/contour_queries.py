@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import polyline as pl
 from ..functions.rules import per_cm
+from ..operators import borders as bd
 from ..operators import contours as ct
 from .registry import query
 
@@ -198,3 +199,51 @@ JOIN ({_ARCS}) p ON p.id = m.id AND p.q = m.q GROUP BY m.id, m.q""")
 def line_fit(src):
     fit = _arcs(src).select("id", "q", pl.line_fit(F.col("xs"), F.col("ys")).alias("f"))
     return _round(fit.select("id", "q", "f.err", "f.angle"), "err", "angle")
+
+
+# ---- borders ------------------------------------------------------------------------------------------
+
+_NEAR = """WITH box AS (SELECT id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, greatest(1, max(x) - min(x) + 1) AS bw, greatest(1, max(y) - min(y) + 1) AS bh FROM points_v GROUP BY id),
+near AS (SELECT p.id, p.n, p.i, p.x, p.y, side FROM points_v p JOIN box b ON b.id = p.id, (SELECT unnest(['top_edge', 'bottom_edge', 'left_edge', 'right_edge']) AS side) s WHERE CASE side
+WHEN 'top_edge' THEN abs(y - y0) <= greatest(2, floor(bh * 0.05e0)) WHEN 'bottom_edge' THEN abs(y - y1) <= greatest(2, floor(bh * 0.05e0)) WHEN 'left_edge' THEN abs(x - x0) <= greatest(2, floor(bw * 0.05e0)) ELSE abs(x - x1) <= greatest(2, floor(bw * 0.05e0)) END),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY id, side ORDER BY i) AS island FROM near),
+runs AS (SELECT id, side, island, min(i) AS a, max(i) AS b, max(n) AS n, count(*) AS points, max(x) - min(x) AS sx, max(y) - min(y) AS sy FROM islands GROUP BY id, side, island),
+ends AS (SELECT *, bool_or(a = 0) OVER s AND bool_or(b = n - 1) OVER s AND count(*) OVER s > 1 AS wraps FROM runs WINDOW s AS (PARTITION BY id, side)),
+rated AS (SELECT e.*, CASE WHEN side IN ('top_edge', 'bottom_edge') THEN sx / bw ELSE sy / bh END AS coverage FROM ends e JOIN box b ON b.id = e.id WHERE points >= 20 AND NOT (wraps AND (a = 0 OR b = n - 1))),
+best AS (SELECT *, row_number() OVER (PARTITION BY id, side ORDER BY coverage DESC, a) AS rn FROM rated WHERE coverage >= 0.05),
+centre AS (SELECT r.id, r.side, r.coverage, avg(p.x) AS mx, avg(p.y) AS my, r.a, r.b FROM best r JOIN points_v p ON p.id = r.id AND p.i BETWEEN r.a AND r.b WHERE rn = 1 GROUP BY ALL),
+angled AS (SELECT c.id, c.side, c.coverage, c.mx, c.my, c.a, c.b, 0.5e0 * atan2(2 * sum((x - mx) * (y - my)), sum((x - mx) * (x - mx)) - sum((y - my) * (y - my))) AS d FROM centre c JOIN points_v p ON p.id = c.id AND p.i BETWEEN c.a AND c.b GROUP BY ALL),
+fitted AS (SELECT g.id, g.side, g.coverage, avg(abs((x - mx) * sin(d) - (y - my) * cos(d))) AS err FROM angled g JOIN points_v p ON p.id = g.id AND p.i BETWEEN g.a AND g.b GROUP BY g.id, g.side, g.coverage)
+SELECT c.id, s.side, round(coalesce(f.coverage, 0), 4) AS coverage, round(err, 4) AS line_err, err <= 18 AS border FROM contours_v c CROSS JOIN (SELECT unnest(['top_edge', 'bottom_edge', 'left_edge', 'right_edge']) AS side) s LEFT JOIN fitted f ON f.id = c.id AND f.side = s.side"""
+
+
+@query("bbox_runs", "H15", _NEAR)
+def bbox_runs(src):
+    return _round(bd.bbox_runs(src("contours_v")), "coverage", "line_err")
+
+
+@query("hull_segments", "H16")
+def hull_segments(src):
+    return _round(bd.hull_segments(src("contours_v")), "coverage", "line_err")
+
+
+@query("oriented_runs", "H17")
+def oriented_runs(src):
+    return _round(bd.oriented_runs(src("contours_v")), "coverage", "line_err", "confidence")
+
+
+@query("oriented_runs_scaled", "H18")
+def oriented_runs_scaled(src):
+    return _round(bd.oriented_runs_scaled(src("contours_v")), "coverage", "line_err", "confidence")
+
+
+@query("edges_with_fallback", "H20 G7", f"""WITH sides AS ({_NEAR}), flags AS (SELECT id, coalesce(bool_or(border) FILTER (side = 'top_edge'), false) AS t, coalesce(bool_or(border) FILTER (side = 'bottom_edge'), false) AS b,
+coalesce(bool_or(border) FILTER (side = 'left_edge'), false) AS l, coalesce(bool_or(border) FILTER (side = 'right_edge'), false) AS r FROM sides GROUP BY id),
+chosen AS (SELECT f.id, f.id % 4 = 1 AS failed, CASE WHEN f.id % 4 = 1 THEN g.t ELSE coalesce(has_top_edge, false) END AS t, CASE WHEN f.id % 4 = 1 THEN g.b ELSE coalesce(has_bottom_edge, false) END AS b,
+CASE WHEN f.id % 4 = 1 THEN g.l ELSE coalesce(has_left_edge, false) END AS l, CASE WHEN f.id % 4 = 1 THEN g.r ELSE coalesce(has_right_edge, false) END AS r FROM fragments_v f JOIN flags g ON g.id = f.id)
+SELECT id, t AS has_top_edge, CASE WHEN failed THEN 'bbox_runs' ELSE 'classifier' END AS method, CASE WHEN failed THEN 'no model' END AS error,
+CASE WHEN (t OR b) AND (l OR r) THEN 'corner' WHEN t OR b OR l OR r THEN 'edge' ELSE 'interior' END AS piece_type FROM chosen""")
+def edges_with_fallback(src):
+    flags = [f"coalesce(has_{s}, false) AS has_{s}" for s in bd.SIDE_EDGES]
+    classified = src("fragments_v").selectExpr("id", *flags, "CASE WHEN id % 4 = 1 THEN 'no model' END AS error")
+    return bd.edges_with_fallback(src("contours_v"), classified, "bbox_runs").select("id", "has_top_edge", "method", "error", "piece_type")
