@@ -244,22 +244,6 @@ def span(values: Column) -> Column:
     return F.array_max(values) - F.array_min(values)
 
 
-def dense_boundary(xs: Column, ys: Column) -> Column:
-    """Closed polygon walked in steps of at most a pixel, ``array<struct<x, y>>`` of whole pixels."""
-    corners = F.arrays_zip(xs.alias("x"), ys.alias("y"), rolled(xs, 1).alias("nx"), rolled(ys, 1).alias("ny"))
-
-    def walk(c: Column) -> Column:
-        steps = F.greatest(F.abs(c["nx"] - c["x"]), F.abs(c["ny"] - c["y"]), F.lit(1.0))
-        count = F.ceil(steps)
-        at = lambda p, q, i: F.round(p + (q - p) * i / count)
-        return F.transform(
-            indices(count),
-            lambda i: F.struct(at(c["x"], c["nx"], i).alias("x"), at(c["y"], c["ny"], i).alias("y")),
-        )
-
-    return F.flatten(F.transform(corners, walk))
-
-
 def linear_percentile(values: Column, q: float) -> Column:
     """Percentile with linear interpolation between the sorted values."""
 

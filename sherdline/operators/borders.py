@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import polyline as pl
 from ..functions.rules import piece_type
-from ..functions.shapes import convex_hull, min_area_angle, straight_segments
+from ..functions.shapes import hull_pieces, oriented_frame
 from .model_outputs import SIDE_EDGES, crop_geometry
 
 
@@ -69,12 +69,10 @@ def hull_segments(
         "__left": pl.linear_percentile(F.col("xs"), 0.01), "__right": pl.linear_percentile(F.col("xs"), 0.99),
         "__top": pl.linear_percentile(F.col("ys"), 0.01), "__low": pl.linear_percentile(F.col("ys"), 0.99),
     }
-    hulled = pl.hold(enough, box).withColumn("__hull", convex_hull(F.col("xs"), F.col("ys")))
-    dense = pl.hold(hulled, {"__dense": pl.dense_boundary(F.col("__hull.xs"), F.col("__hull.ys"))})
-    axis = lambda c: F.transform("__dense", lambda p: p[c])
-    walked = pl.hold(dense, {"__hx": axis("x"), "__hy": axis("y")})
-    pieces = walked.withColumn("__pieces", straight_segments(err_thresh)(F.col("__hx"), F.col("__hy")))
-    cut = pieces.select("*", F.posexplode("__pieces").alias("__no", "__p"))
+    hulled = pl.hold(enough, box).withColumn("__hull", hull_pieces(err_thresh)(F.col("xs"), F.col("ys")))
+    cut = hulled.select(
+        "*", F.col("__hull.xs").alias("__hx"), F.col("__hull.ys").alias("__hy"), F.posexplode("__hull.pieces").alias("__no", "__p")
+    )
     part = lambda c: F.slice(c, F.col("__p.a") + 1, F.col("__p.b") - F.col("__p.a") + 1)
     parts = pl.hold(cut, {"__px": part("__hx"), "__py": part("__hy")})
     bw = F.greatest(F.lit(1.0), F.col("__right") - F.col("__left"))
@@ -104,24 +102,10 @@ def hull_segments(
 
 
 def _oriented(df: DataFrame, window: int, passes: int) -> DataFrame:
-    """Dense, smoothed outline in the frame of its smallest enclosing rectangle: ``u, v, width, height``."""
-    dense = pl.hold(df, {"__dense": pl.dense_boundary(F.col("xs"), F.col("ys"))}).filter(F.size("__dense") >= 20)
-    axis = lambda c: F.transform("__dense", lambda p: p[c])
-    walked = pl.hold(dense, {"__x": axis("x"), "__y": axis("y")}).drop("__dense")
-    smooth = pl.hold(walked, {c: pl.moving_average(F.col(c), max(3, window), max(1, passes)) for c in ("__x", "__y")})
-    hulled = smooth.withColumn("__hull", convex_hull(F.col("__x"), F.col("__y")))
-    turned = hulled.withColumn("__t", min_area_angle(F.col("__hull.xs"), F.col("__hull.ys")))
-    cos, sin = F.cos("__t"), F.sin("__t")
-    frame = pl.hold(turned, {"__cos": cos, "__sin": sin})
-    raw = pl.hold(frame, {
-        "__u": F.zip_with("__x", "__y", lambda x, y: x * F.col("__cos") + y * F.col("__sin")),
-        "__v": F.zip_with("__x", "__y", lambda x, y: y * F.col("__cos") - x * F.col("__sin")),
-    })
-    low = pl.hold(raw, {"__u0": F.array_min("__u"), "__v0": F.array_min("__v"), "__w": pl.span(F.col("__u")), "__h": pl.span(F.col("__v"))})
-    return pl.hold(low, {
-        "u": F.transform("__u", lambda a: a - F.col("__u0")), "v": F.transform("__v", lambda a: a - F.col("__v0")),
-        "width": F.greatest("__w", F.lit(1.0)), "height": F.greatest("__h", F.lit(1.0)),
-    }).drop("__x", "__y", "__u", "__v", "__hull", "__t", "__cos", "__sin", "__u0", "__v0", "__w", "__h")
+    """Outlines in their oriented frame: ``u, v, width, height``."""
+    framed = df.withColumn("__f", oriented_frame(window, passes)(F.col("xs"), F.col("ys"))).filter(F.col("__f.xs").isNotNull())
+    sized = {"width": F.greatest(F.array_max("__f.xs"), F.lit(1.0)), "height": F.greatest(F.array_max("__f.ys"), F.lit(1.0))}
+    return pl.hold(framed, {"u": F.col("__f.xs"), "v": F.col("__f.ys"), **sized}).drop("__f")
 
 
 def oriented_runs(
