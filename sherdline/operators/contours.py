@@ -136,14 +136,16 @@ def edge_descriptors(segments: DataFrame) -> DataFrame:
         .filter(F.col("length_cm") >= MIN_EDGE_CM)
     )
     sampled = resample(kept).filter(F.col("rx").isNotNull())
+    # radius_cm is the unit of the normalised shape, so shape times radius_cm is the centred edge in cm
     centre = pl.hold(sampled, {"__cx": pl.centred(F.col("rx")), "__cy": pl.centred(F.col("ry"))})
 
+    radius = F.array_max(F.zip_with("__cx", "__cy", lambda x, y: F.sqrt(x * x + y * y)))
+
     def scaled(name: str) -> Column:
-        radius = F.array_max(F.zip_with("__cx", "__cy", lambda x, y: F.sqrt(x * x + y * y)))
         return pl.let(F.when(radius > 0, radius).otherwise(1.0), lambda r: F.transform(name, lambda v: v / r))
 
     in_cm = lambda name: pl.let(F.col("per_cm"), lambda r: F.transform(name, lambda v: v / r))
-    shaped = pl.hold(centre, {"shape_x": scaled("__cx"), "shape_y": scaled("__cy")})
+    shaped = pl.hold(centre, {"shape_x": scaled("__cx"), "shape_y": scaled("__cy"), "__radius": radius})
     return shaped.withColumns(
         {
             "edge_name": F.concat("position", F.lit("_seg"), F.col("segment_id").cast("string")),
@@ -152,8 +154,9 @@ def edge_descriptors(segments: DataFrame) -> DataFrame:
             "complexity": pl.complexity(F.col("rx"), F.col("ry")),
             "cm_x": in_cm("xs"),
             "cm_y": in_cm("ys"),
+            "radius_cm": F.when(F.col("__radius") > 0, F.col("__radius")).otherwise(1.0) / F.col("per_cm"),
         }
-    ).drop("__cx", "__cy", "rx", "ry")
+    ).drop("__cx", "__cy", "__radius", "rx", "ry")
 
 
 def extract_edges(contours: DataFrame) -> DataFrame:

@@ -196,7 +196,7 @@ _EDGE_HEAD = """id * 4 + pos AS edge_id, id, fragment_id, script_type, line_coun
   CASE pos WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'top' ELSE 'bottom' END AS position,
   CASE pos WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'top' ELSE 'bottom' END || '_seg' || CAST(pos AS VARCHAR(20)) AS edge_name,
   CASE WHEN (id + pos) % 9 = 0 THEN 'border' ELSE 'tear' END AS edge_type,
-  round(1 + (id * 13 % 97) / CAST(10 AS DOUBLE) + 0.3e0 * pos, 4) AS length_cm"""
+  round(1 + (id * 13 % 97) / CAST(10 AS DOUBLE) + 0.3e0 * pos, 4) AS length_cm, round(0.5e0 + (id % 23) / CAST(10 AS DOUBLE), 4) AS radius_cm"""
 
 
 def _edges(array) -> str:
