@@ -120,17 +120,27 @@ def oriented_runs(
         "top_edge": close("v", F.lit(0.0), ty), "bottom_edge": close("v", F.col("height"), ty),
         "left_edge": close("u", F.lit(0.0), tx), "right_edge": close("u", F.col("width"), tx),
     }
-    runs = _side_rows(framed, masks).select("*", F.posexplode_outer("__runs").alias("__no", "__r"))
-    whole = lambda c: F.when(
-        F.col("__r.a") <= F.col("__r.b"), F.slice(c, F.col("__r.a") + 1, F.col("__r.b") - F.col("__r.a") + 1)
-    ).otherwise(F.concat(F.slice(c, F.col("__r.a") + 1, F.size(c)), F.slice(c, F.lit(1), F.col("__r.b") + 1)))
-    held = pl.hold(runs, {"__ru": whole("u"), "__rv": whole("v")}).drop("u", "v", "__runs")
+    rows = _side_rows(framed, masks)
+    points = F.size("u")
+    length = lambda r: F.when(r["a"] <= r["b"], r["b"] - r["a"] + 1).otherwise(points - r["a"] + r["b"] + 1)
+    whole = lambda c, r: F.when(
+        r["a"] <= r["b"], F.slice(c, r["a"] + 1, F.greatest(r["b"] - r["a"] + 1, F.lit(0)))
+    ).otherwise(F.concat(F.slice(c, r["a"] + 1, points), F.slice(c, F.lit(1), r["b"] + 1)))
+    numbered = F.transform("__runs", lambda r, i: F.struct(i.alias("no"), r["a"].alias("a"), r["b"].alias("b")))
+    # only the points of a run leave the row, not the whole outline once per run
+    cut = F.transform(
+        F.filter(numbered, lambda r: length(r) >= 12),
+        lambda r: F.struct(r["no"].alias("no"), whole(F.col("u"), r).alias("ru"), whole(F.col("v"), r).alias("rv")),
+    )
+    held = rows.select("id", "side", "width", "height", F.explode_outer(cut).alias("__r")).select(
+        "id", "side", "width", "height", F.col("__r.no").alias("__no"), F.col("__r.ru").alias("__ru"), F.col("__r.rv").alias("__rv")
+    )
     n = F.size("__ru")
     off = F.floor(n * trim).cast("int")
     kept = n - 2 * off
     skip = F.when((off == 0) | (n <= 2 * off + 5) | (kept < 8), F.lit(0)).otherwise(off)
     middle = lambda c: F.slice(c, skip + 1, n - 2 * skip)
-    trimmed = pl.hold(held.filter(F.col("__r").isNull() | (n >= 12)), {"__tu": middle("__ru"), "__tv": middle("__rv")})
+    trimmed = pl.hold(held, {"__tu": middle("__ru"), "__tv": middle("__rv")})
     level = _horizontal(F.col("side"))
     aim = F.when(F.col("side") == "bottom_edge", F.col("height")).when(F.col("side") == "right_edge", F.col("width")).otherwise(0.0)
     distance = pl.mean(F.transform(F.when(level, F.col("__tv")).otherwise(F.col("__tu")), lambda p: F.abs(p - aim)))
@@ -159,8 +169,7 @@ def oriented_runs(
     border = (
         (b("line_err") <= max_line_err) & (b("offset") <= max_offset) & (b("angle_err") <= angle_tol) & (b("confidence") >= min_confidence)
     )
-    all_sides = framed.select("id", F.explode(F.array(*[F.lit(s) for s in SIDE_EDGES])).alias("side"))
-    return all_sides.join(best, ["id", "side"], "left").select(
+    return best.select(
         "id", "side", F.coalesce(b("coverage"), F.lit(0.0)).alias("coverage"), b("line_err").alias("line_err"),
         b("offset").alias("offset"), b("angle_err").alias("angle_err"), F.coalesce(b("confidence"), F.lit(0.0)).alias("confidence"),
         border.alias("border"),

@@ -166,12 +166,12 @@ def create_projects(src):
     return ch.create_projects(src("projects_v"), new, F.expr(NOW)).select("id", "project_name", "description", "updated_at")
 
 
-@query("delete_projects", "C5", """SELECT 'project' AS kind, id FROM projects_v WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
+@query("delete_projects", "C5", """SELECT 'project' AS kind, CAST(id AS VARCHAR) AS id FROM projects_v WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
 UNION ALL SELECT 'row', row_id FROM project_fragments_v WHERE project_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')""")
 def delete_projects(src):
     ids = src("orders").filter("o_orderstatus = 'P'").selectExpr("o_orderkey AS id")
     projects, rows = ch.delete_projects(src("projects_v"), src("project_fragments_v"), ids)
-    return projects.select(F.lit("project").alias("kind"), "id").union(rows.select(F.lit("row"), "row_id"))
+    return projects.select(F.lit("project").alias("kind"), F.col("id").cast("string").alias("id")).union(rows.select(F.lit("row"), "row_id"))
 
 
 @query("ensure_columns", "C6", """SELECT id, line_count, CAST(NULL AS DOUBLE) AS line_confidence, CAST(NULL AS VARCHAR) AS embedding_path FROM fragments_v""")
