@@ -373,10 +373,30 @@ def overlap_ratio(cell: float = 0.1):
     return ratio
 
 
-def line_continuity(lines_a: Column, lines_b: Column, dy: Column, tolerance: float = 0.15) -> Column:
-    """Share of text lines (centres in centimetres) that go on across the seam; 0 without lines."""
-    met = F.filter(lines_a, lambda p: F.exists(lines_b, lambda q: F.abs(p - (q + dy)) <= tolerance))
-    return F.coalesce(F.try_divide(F.size(met).cast("double"), F.greatest(F.size(lines_a), F.size(lines_b))), F.lit(0.0))
+def line_continuity(pairs: DataFrame, lines: DataFrame, tolerance: float = 0.15) -> DataFrame:
+    """Adds ``continuity`` to ``pairs``: the share of text lines that go on across the seam, 0 without lines.
+
+    ``pairs`` has ``fragment_a_id, fragment_b_id, pair_id, dy``; ``lines`` has ``fragment_id, line_id, centre``
+    in centimetres.  Lines meet in an equi-join on the pair and a bin as wide as the tolerance.
+    """
+    slim = pairs.select("pair_id", "fragment_a_id", "fragment_b_id", "dy")
+    place = lambda c: F.floor(c / tolerance)
+    of_a = slim.join(lines.withColumnRenamed("fragment_id", "fragment_a_id"), "fragment_a_id").select(
+        "pair_id", F.col("line_id").alias("line_a"), F.col("centre").alias("ca"),
+        F.explode(F.array(*[place(F.col("centre")) + s for s in (-1, 0, 1)])).alias("bin"),
+    )
+    shifted = F.col("centre") + F.col("dy")
+    of_b = slim.join(lines.withColumnRenamed("fragment_id", "fragment_b_id"), "fragment_b_id").select(
+        F.col("pair_id").alias("__pair"), shifted.alias("cb"), place(shifted).alias("__bin")
+    )
+    near = (F.col("pair_id") == F.col("__pair")) & (F.col("bin") == F.col("__bin")) & (F.abs(F.col("ca") - F.col("cb")) <= tolerance)
+    met = of_a.join(of_b, near, "left_semi").select("pair_id", "line_a").distinct().groupBy("pair_id").agg(F.count(F.lit(1)).alias("__met"))
+    sizes = lines.groupBy("fragment_id").agg(F.count(F.lit(1)).alias("__n"))
+    size = lambda letter: sizes.select(F.col("fragment_id").alias(f"fragment_{letter}_id"), F.col("__n").alias(f"__n{letter}"))
+    joined = pairs.join(met, "pair_id", "left").join(size("a"), "fragment_a_id", "left").join(size("b"), "fragment_b_id", "left")
+    longest = F.greatest(F.coalesce("__na", F.lit(0)), F.coalesce("__nb", F.lit(0)))
+    share = F.coalesce(F.try_divide(F.coalesce("__met", F.lit(0)).cast("double"), longest), F.lit(0.0))
+    return joined.withColumn("continuity", share).drop("__met", "__na", "__nb")
 
 
 def join_score(geometric: Column, similarity: Column, continuity: Column, weights: tuple[float, float, float] = (0.6, 0.25, 0.15)) -> Column:
@@ -396,7 +416,7 @@ def reconstruct(
 
     ``contours`` has ``id, fragment_id, xs, ys, image_width, image_height, pixels_per_unit, scale_unit,
     line_count, script_type``.  ``candidates`` (``fragment_a_id, fragment_b_id, similarity``) keeps only
-    those pairs; ``lines`` (``fragment_id, centres``) adds text-line continuity to the final score.
+    those pairs; ``lines`` (``fragment_id, line_id, centre``) adds text-line continuity to the final score.
     """
     eligible = contours.filter(F.col("pixels_per_unit").isNotNull())
     described = ct.extract_edges(eligible)
@@ -436,11 +456,9 @@ def reconstruct(
     keep = wanted & F.col("relative_x_cm").isNotNull() & (F.col("overlap") <= max_overlap)
     ranked = rank_matches(checked, k, keep, tie="edge_b").withColumnRenamed("new_rank", "rank")
     if lines is not None:
-        of = lambda letter: lines.select(F.col("fragment_id").alias(f"fragment_{letter}_id"), F.col("centres").alias(f"lines_{letter}"))
-        lined = ranked.join(of("a"), "fragment_a_id", "left").join(of("b"), "fragment_b_id", "left")
-        ranked = lined.withColumn(
-            "continuity", line_continuity(F.col("lines_a"), F.col("lines_b"), F.col("relative_y_cm"))
-        ).drop("lines_a", "lines_b")
+        # the pairs meet their lines on both sides, so placement and overlap are kept rather than redone
+        numbered = cut(ranked.withColumn("pair_id", F.xxhash64("edge_a", "edge_b")).withColumn("dy", F.col("relative_y_cm")))
+        ranked = line_continuity(numbered, lines).drop("pair_id", "dy")
         final = join_score(F.col("score"), F.col("similarity"), F.col("continuity"))
         ranked = rerank(ranked, F.round(final, SCORE_PLACES), tie="edge_b").drop("score", "rank").withColumnsRenamed(
             {"new_score": "score", "new_rank": "rank"}

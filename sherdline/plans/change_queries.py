@@ -145,9 +145,9 @@ def load_project(src):
     return ch.load_project(src("project_fragments_v"), 101).select("fragment_id", "x", "y", "z_index")
 
 
-@query("list_projects", "C5", "SELECT id, project_name, updated_at FROM projects_v ORDER BY updated_at DESC, id LIMIT 200")
+@query("list_projects", "C5", "SELECT id, project_name, updated_at FROM projects_v ")
 def list_projects(src):
-    return ch.list_projects(src("projects_v")).limit(200)
+    return ch.list_projects(src("projects_v"))
 
 
 @query("rename_projects", "C5", f"""SELECT id, CASE WHEN id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 'renamed' ELSE project_name END AS project_name,

@@ -78,7 +78,8 @@ def run_outcome(src):
 @query("lines_from_detections", "G4", """SELECT det_id, image_id, row_number() OVER (PARTITION BY image_id ORDER BY y1, det_no, det_id) AS line_id, count(*) OVER (PARTITION BY image_id) AS num_lines
 FROM detections_v WHERE confidence >= 0.25""")
 def lines_from_detections(src):
-    return mo.lines_from_detections(src("detections_v")).select("det_id", "image_id", "line_id", "num_lines")
+    slim = src("detections_v").select("image_id", "det_no", "det_id", "y1", "confidence")
+    return mo.lines_from_detections(slim).select("det_id", "image_id", "line_id", "num_lines")
 
 
 @query("circle_flag", "G5", "SELECT o_orderkey AS image_id, o_orderkey IN (SELECT image_id FROM detections_v WHERE class_no = 0 AND confidence >= 0.6) AS has_circle FROM orders")

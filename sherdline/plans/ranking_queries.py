@@ -83,7 +83,8 @@ def rank_matches(src):
 @query("rerank", "F9", """SELECT match_id, row_number() OVER (PARTITION BY fragment_a_id, edge_a_name ORDER BY round(score * (1 + line_no % 3), 6), rank, match_id) AS new_rank FROM matches_v""")
 def rerank(src):
     score = F.round(F.col("score") * (1 + F.col("line_no") % 3), 6)
-    return rk.rerank(src("matches_v"), score).select("match_id", "new_rank")
+    slim = src("matches_v").select("match_id", "fragment_a_id", "edge_a_name", "rank", "score", "line_no")
+    return rk.rerank(slim, score).select("match_id", "new_rank")
 
 
 @query("top_matches", "F10", "SELECT match_id, fragment_a_id, fragment_b_id, score FROM matches_v WHERE rank = 1 ORDER BY score, match_id LIMIT 10")
