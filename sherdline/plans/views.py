@@ -255,7 +255,7 @@ class Source:
                 text = _text(name, "spark")
                 inputs = {n: self(n) for n in set(re.findall(r"\{(\w+)\}", text))}
                 if name in SPREAD:  # the supplied files are one split each
-                    tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+                    tasks = self.spark.sparkContext.defaultParallelism
                     inputs = {n: f.repartition(tasks) for n, f in inputs.items()}
                 frame = self.spark.sql(text, **inputs)
             self._frames[name] = frame
