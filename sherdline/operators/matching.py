@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import polyline as pl
-from ..functions.shapes import resampler
 from ..functions.text import base_id
 from ..session import cut
 from . import contours as ct

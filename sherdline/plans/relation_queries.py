@@ -24,7 +24,8 @@ def matches_for(src):
 
 @query("best_matches", "D2", f"{_BEST} WHERE place <= 20")
 def best_matches(src):
-    return rel.best_matches(src("matches_v"), src("fragments_v")).select(*_COLUMNS, "place")
+    slim = src("matches_v").select("fragment_a_id", "edge_a_name", "fragment_b_id", "edge_b_name", "score", "match_id")
+    return rel.best_matches(slim, src("fragments_v")).select(*_COLUMNS, "place")
 
 
 @query("best_matches_of_one", "D2", f"{_BEST} WHERE place <= 20 AND fragment_a_id = 'OR25_25A'")
