@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, simhash
+from . import bpe, html_text, line_dedup, packing, quality, secrets, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,16 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register
+def op2_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@register
+def op3_secrets(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 @register
 def op4_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -43,3 +53,8 @@ def op6_quality(spark, sf_dir):
 @register
 def op8_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@register
+def op10_html(spark, sf_dir):
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
