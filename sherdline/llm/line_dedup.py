@@ -1,7 +1,9 @@
 """Repeated passages by hashing of text units.
 
-A text is tiled by units: a line is a unit, and a long line is cut at its sentence ends, so that a passage
+A text is tiled by units: a line is a unit, and a longer line is cut at its sentence ends, so that a passage
 is met wherever it stands in a line; a sentence of fewer than ``UNIT_WORDS`` words goes with the next one.
+A sentence of more than ``LONG`` words is cut after words whose checksum is a multiple of ``CUT``, so
+that also a passage inside it is cut alike in every document.
 A unit is normalised (ASCII letters lower-cased, white space runs as one space) and hashed to 128 bits.
 Digests are grouped over all documents; the occurrence of least rank (document id, then place) stays and
 all others are repeats.  A run of neighbouring repeats of ``RUN_WORDS`` words or more is removed; shorter
@@ -18,6 +20,7 @@ id each keep the units whose first document they are.  Empty tables give no rows
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,20 +31,37 @@ from pyspark.sql import functions as F
 from .common import same
 
 UNIT_WORDS = 4
+LONG = 16
+CUT = 4
 RUN_WORDS = 20
 LAST = (1 << 63) - 1
+WORD = re.compile("[^ \\t\\n\\x0b\\x0c\\r]+")
 BREAK = re.compile(r"\n|[.!?][\"')\]]*[ \t\r\f\v]+")
 
 
 def units(text: str, least: int = UNIT_WORDS) -> list[tuple[int, int, int, int]]:
     """(start, end, words, 128-bit digest) of the units that tile the text; units without words have digest 0."""
     out = []
+
+    def add(start: int, stop: int, words: list[bytes]) -> None:
+        out.append((start, stop, len(words), xxhash.xxh3_128_intdigest(b" ".join(words)) if words else 0))
+
     start = 0
     stops = [(m.end(), text[m.start()] == "\n") for m in BREAK.finditer(text)]
     for stop, line_end in [*stops, (len(text), True)]:
-        words = text[start:stop].encode().lower().split()
+        part = text[start:stop]
+        words = part.encode().lower().split()
         if stop > start and (line_end or len(words) >= least):
-            out.append((start, stop, len(words), xxhash.xxh3_128_intdigest(b" ".join(words)) if words else 0))
+            if len(words) <= LONG:
+                add(start, stop, words)
+            else:
+                ends = [m.end() for m in WORD.finditer(part)]
+                first, begin = 0, start
+                for i in range(least - 1, len(words) - least):
+                    if i + 1 - first >= least and not zlib.crc32(words[i]) % CUT:
+                        add(begin, start + ends[i], words[first : i + 1])
+                        first, begin = i + 1, start + ends[i]
+                add(begin, stop, words[first:])
             start = stop
     return out
 
