@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_text, line_dedup, packing, pii, quality, secrets, simhash
+from . import ann, bpe, html_text, licenses, line_dedup, packing, pii, quality, secrets, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,14 @@ def op4_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@register
+def op5_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_licenses"] = licenses.oracle()
+
+
 @register
 def op6_quality(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
