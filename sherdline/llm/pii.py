@@ -152,8 +152,9 @@ class TermMap:
         self.bits = terms.sparkSession.sparkContext.broadcast(bits)
 
     def holds(self, term: str) -> bool:
-        bit = xxhash.xxh64_intdigest(term.encode(), 42) & MAP_BITS - 1
-        return bool(int(self.bits.value[bit >> 5]) >> (bit & 31) & 1)
+        bits = self.bits.value
+        bit = xxhash.xxh64_intdigest(term.encode(), 42) & 32 * len(bits) - 1
+        return bool(int(bits[bit >> 5]) >> (bit & 31) & 1)
 
     def __reduce__(self):
         return _term_map, (self.empty, self.bits)
