@@ -47,10 +47,12 @@ def duplicate_ids(fragments: DataFrame) -> DataFrame:
 REQUIRED = ("fragment_id", "image_path", "created_at")
 
 
-def integrity_findings(fragments: DataFrame, listing: DataFrame, project_rows: DataFrame) -> DataFrame:
+def integrity_findings(fragments: DataFrame, listing: DataFrame, project_rows: DataFrame, matches: DataFrame) -> DataFrame:
     """All findings as ``(kind, item, detail)``: gaps, files, duplicates, orphans.
 
-    ``listing`` has ``path, is_directory, size`` for the files there are.
+    ``listing`` has ``path, is_directory, size`` for the files there are.  Blank and NULL ids that occur
+    more than once are duplicates like any other.  A row of ``project_rows`` or either side of a match
+    whose fragment there is not is an orphan; ``item`` then names table, column and row.
     """
 
     def blank(name: str) -> Column:
@@ -73,14 +75,21 @@ def integrity_findings(fragments: DataFrame, listing: DataFrame, project_rows: D
         .select(F.lit("image").alias("kind"), F.col("id").cast("string").alias("item"), reason.alias("detail"))
         .filter("detail IS NOT NULL")
     )
-    repeated = duplicate_ids(fragments.filter(~blank("fragment_id"))).select(
+    repeated = duplicate_ids(fragments).select(
         F.lit("duplicate").alias("kind"), F.col("fragment_id").alias("item"), F.col("n").cast("string").alias("detail")
     )
     known = fragments.select("fragment_id").filter(F.col("fragment_id").isNotNull()).distinct()
-    lost = project_rows.join(known, "fragment_id", "left_anti").select(
-        F.lit("orphan").alias("kind"), F.col("row_id").cast("string").alias("item"), F.col("fragment_id").alias("detail")
-    )
-    return missing.unionByName(images).unionByName(repeated).unionByName(lost)
+    sides = [
+        (project_rows, "project_fragments", "fragment_id", "row_id"),
+        (matches, "edge_matches", "fragment_a_id", "match_id"),
+        (matches, "edge_matches", "fragment_b_id", "match_id"),
+    ]
+    found = missing.unionByName(images).unionByName(repeated)
+    for rows, table, column, row in sides:
+        lost = rows.select(F.col(column).alias("fragment_id"), F.col(row).cast("string").alias("row")).join(known, "fragment_id", "left_anti")
+        item = F.concat_ws(".", F.lit(table), F.lit(column), "row")
+        found = found.unionByName(lost.select(F.lit("orphan").alias("kind"), item.alias("item"), F.col("fragment_id").alias("detail")))
+    return found
 
 
 def integrity_summary(findings: DataFrame) -> DataFrame:
@@ -92,8 +101,8 @@ def integrity_summary(findings: DataFrame) -> DataFrame:
 
 
 def has_matches(matches: DataFrame) -> DataFrame:
-    """One row ``has_matches``; reads no more than it must to find one match."""
-    return matches.limit(1).agg((_rows() > 0).alias("has_matches"))
+    """One row ``has_matches, n``; a table that is not there comes from ``readers.read_or_empty``."""
+    return matches.agg((_rows() > 0).alias("has_matches"), _rows().alias("n"))
 
 
 def run_report(run: DataFrame, evaluation: DataFrame, max_hours: float = 1.15, min_success: float = 0.99) -> DataFrame:
@@ -141,18 +150,13 @@ def histogram(df: DataFrame, value: str) -> DataFrame:
 def label_stats(df: DataFrame, value: str) -> DataFrame:
     """Images, total, mean, median, extremes and population deviation of line counts.
 
-    Line counts repeat, so everything is read off their histogram, which is small.
+    Rows without a label are no images.  The median keeps a count per distinct value, of which line
+    counts have few; the deviation is Spark's, which adds up moments about the mean.
     """
-    hist = histogram(df, value)
-    v, n = F.col("value").cast("double"), F.col("n")
-    summed = hist.agg(
-        F.sum(n).alias("images"), F.sum(F.col("value") * n).alias("total"), F.sum(v * v * n).alias("squares"),
-        F.percentile("value", F.lit(0.5), n).alias("median"), F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    mean = F.col("total") / F.col("images")
-    return summed.select(
-        "images", "total", mean.alias("mean"), "median", "min", "max",
-        F.sqrt(F.greatest(F.col("squares") / F.col("images") - mean * mean, F.lit(0.0))).alias("std"),
+    v = F.col(value)
+    return df.filter(v.isNotNull()).agg(
+        _rows().alias("images"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"),
+        F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"),
     )
 
 
@@ -167,17 +171,20 @@ def detection_summary(images: DataFrame, detections: DataFrame, min_confidence:
 
 
 def detection_stats(images: DataFrame, detections: DataFrame, min_confidence: float = 0.25) -> DataFrame:
-    per_image = detection_summary(images, detections, min_confidence)
-    summed = per_image.agg(
-        _rows().alias("images"), _rows(F.col("n") > 0).alias("with_detections"), F.sum("n").alias("detections"),
-        F.sum(F.col("mean_confidence") * F.col("n")).alias("confidence"),
-    )
-    return summed.select(
-        "images", "with_detections", "detections", ratio(F.col("detections").cast("double"), F.col("images")).alias("per_image"),
-        ratio(F.col("confidence"), F.col("detections")).alias("mean_confidence"),
+    """Over all images: detections, their mean, least and greatest number, and the mean of the images'
+    mean confidences, in which an image without detections counts with 0."""
+    return detection_summary(images, detections, min_confidence).agg(
+        _rows().alias("images"), _rows(F.col("n") > 0).alias("with_detections"), F.coalesce(F.sum("n"), F.lit(0)).alias("detections"),
+        F.avg("n").alias("per_image"), F.min("n").alias("min_lines"), F.max("n").alias("max_lines"),
+        F.avg("mean_confidence").alias("mean_confidence"),
     )
 
 
+def detection_histogram(images: DataFrame, detections: DataFrame, min_confidence: float = 0.25) -> DataFrame:
+    """Number of images for each number of detections."""
+    return histogram(detection_summary(images, detections, min_confidence), "n")
+
+
 def line_count_accuracy(df: DataFrame) -> DataFrame:
     """``df`` has ``truth, predicted``."""
     error = (F.col("predicted") - F.col("truth")).cast("double")
@@ -303,9 +310,10 @@ def multilabel_summary(df: DataFrame, thresholds: Mapping[str, float] | None = N
 
 
 def annotation_side_metrics(df: DataFrame) -> DataFrame:
-    """As :func:`side_metrics` on flags, with unlabelled sides left out and NULL on zero division."""
-    long = _long_sides(df).filter(F.col("truth").isNotNull())
-    return _with_rates(long.groupBy("side").agg(_rows().alias("labelled"), *_cells(F.col("truth"), F.col("p"))), None)
+    """Per method and side, as :func:`side_metrics` on flags: only rows the method judged (``status`` ok)
+    and sides that are labelled; NULL on zero division."""
+    long = _long_sides(df.filter(F.col("status") == "ok"), ["method"]).filter(F.col("truth").isNotNull())
+    return _with_rates(long.groupBy("method", "side").agg(_rows().alias("labelled"), *_cells(F.col("truth"), F.col("p"))), None)
 
 
 def _judged(df: DataFrame) -> DataFrame:
@@ -317,12 +325,14 @@ def _judged(df: DataFrame) -> DataFrame:
 
 
 def annotation_summary(df: DataFrame) -> DataFrame:
-    """Rows per outcome of the method (``status`` is ok or a failure) and exact matches among labelled rows."""
+    """Per method: rows per outcome (``status`` is ok, segmentation or prediction; the last two are failures
+    counted apart) and exact matches among judged rows with a label."""
     j = _judged(df)
     ok = F.col("status") == "ok"
     rated = ok & (F.col("known") > 0)
-    return j.agg(
-        _rows().alias("samples"), _rows(ok).alias("evaluated"), _rows(~ok).alias("failed"), _rows(rated).alias("rated"),
+    return j.groupBy("method").agg(
+        _rows().alias("samples"), _rows(ok).alias("evaluated"), _rows(F.col("status") == "segmentation").alias("segmentation_failures"),
+        _rows(F.col("status") == "prediction").alias("prediction_failures"), _rows(rated).alias("rated"),
         _rows(rated & (F.col("errors") == 0)).alias("exact"),
         ratio(_rows(rated & (F.col("errors") == 0)), _rows(rated), None).alias("exact_accuracy"),
     )
@@ -337,28 +347,27 @@ CANDIDATE_THRESHOLDS = [0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0
 
 
 def tune_thresholds(df: DataFrame, candidates: Sequence[float] = CANDIDATE_THRESHOLDS) -> DataFrame:
-    """Per side the first threshold with the best F1; 0.5 without rows.
+    """Per side the first of ``candidates``, in their order, with the best F1; 0.5 without rows.
 
     Each probability is counted once, under the number of thresholds it reaches; the cells of every
     threshold are sums over those few counts.
     """
-    grid = F.array(*[F.lit(float(t)) for t in candidates])
-    reached = F.size(F.filter(grid, lambda t: F.col("p") >= t))
+    rising = sorted(enumerate(candidates), key=lambda x: x[1])
+    grid = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.lit(-i).alias("turn")) for i, t in rising])
+    reached = F.size(F.filter(grid, lambda t: F.col("p") >= t["threshold"]))
     counts = _long_sides(df).groupBy("side", reached.alias("reached"), "truth").agg(_rows().alias("n"))
-    tried = counts.select("*", F.posexplode(grid).alias("place", "threshold"))
+    tried = counts.select("*", F.posexplode(grid).alias("place", "tried"))
     yes = F.col("reached") > F.col("place")
     n_if = lambda c: F.sum(F.when(c, F.col("n")).otherwise(F.lit(0)))
-    cells = tried.groupBy("side", "threshold").agg(
+    cells = tried.groupBy("side", "tried").agg(
         n_if(yes & F.col("truth")).alias("tp"), n_if(yes & ~F.col("truth")).alias("fp"),
         n_if(~yes & F.col("truth")).alias("fn"), n_if(~yes & ~F.col("truth")).alias("tn"),
     )
     best = _with_rates(cells, 0.0).groupBy("side").agg(
-        F.max(F.struct(F.col("f1"), (-F.col("threshold")).alias("minus"))).alias("best")
+        F.max(F.struct(F.col("f1"), F.col("tried.turn").alias("turn"), F.col("tried.threshold").alias("threshold"))).alias("best")
     )
     sides = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in SIDE_NAMES])).alias("side"))
-    return sides.join(best, "side", "left").select(
-        "side", F.coalesce(-F.col("best.minus"), F.lit(0.5)).alias("threshold"), F.col("best.f1").alias("f1")
-    )
+    return sides.join(best, "side", "left").select("side", F.coalesce("best.threshold", F.lit(0.5)).alias("threshold"), F.col("best.f1").alias("f1"))
 
 
 def aggregate_seeds(results: DataFrame) -> DataFrame:
@@ -432,9 +441,12 @@ def positive_labels(flags: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return flags.select(*keep, F.explode(F.array_compact(F.array(*tests))).alias("label"))
 
 
-def target_summary(annotations: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Per label: positives among reviewed, unskipped annotations, and predicted positives among images."""
+def target_summary(annotations: DataFrame, predictions: DataFrame, images: DataFrame) -> DataFrame:
+    """Per label: positives among reviewed, unskipped annotations, and predicted positives among the images at
+    hand.  ``predictions`` has the sides by ``path``, ``images`` the ``path`` of each image."""
     reviewed = positive_labels(annotations.filter(_true("reviewed") & ~_true("skipped"))).groupBy("label").agg(_rows().alias("reviewed_positives"))
+    at_hand = images.select(normalize_path(F.col("path")).alias("__path")).distinct()
+    predictions = predictions.withColumn("__path", normalize_path(F.col("path"))).join(at_hand, "__path", "left_semi")
     predicted = positive_labels(predictions).groupBy("label").agg(_rows().alias("predicted_positives"))
     labels = annotations.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(x) for x in (*SIDE_NAMES, "corner")])).alias("label")

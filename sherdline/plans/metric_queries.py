@@ -38,7 +38,7 @@ def _findings(src):
     listing = src("fragments_v").filter("id % 90 <> 7").selectExpr(
         "image_path AS path", "id % 100 = 3 AS is_directory", "CASE WHEN id % 110 = 5 THEN 0 ELSE id + 1 END AS size"
     )
-    return mt.integrity_findings(_faulty(src), listing, src("project_fragments_v"))
+    return mt.integrity_findings(_faulty(src), listing, src("project_fragments_v"), src("matches_v"))
 
 
 _FINDINGS = f"""WITH faulty AS ({_FAULTY_SQL}) SELECT 'required' AS kind, CAST(id AS VARCHAR) AS item, concat_ws(',', CASE WHEN coalesce(trim(fragment_id), '') = '' THEN 'fragment_id' END,
@@ -46,8 +46,10 @@ _FINDINGS = f"""WITH faulty AS ({_FAULTY_SQL}) SELECT 'required' AS kind, CAST(i
 FROM faulty WHERE coalesce(trim(fragment_id), '') = '' OR coalesce(trim(image_path), '') = '' OR created_at IS NULL
 UNION ALL SELECT 'image', CAST(id AS VARCHAR), CASE WHEN id % 90 = 7 THEN 'missing' WHEN id % 100 = 3 THEN 'is_directory' ELSE 'empty_file' END
 FROM faulty WHERE coalesce(image_path, '') <> '' AND (id % 90 = 7 OR id % 100 = 3 OR id % 110 = 5)
-UNION ALL SELECT 'duplicate', fragment_id, CAST(count(*) AS VARCHAR) FROM faulty WHERE trim(fragment_id) <> '' GROUP BY fragment_id HAVING count(*) > 1
-UNION ALL SELECT 'orphan', CAST(row_id AS VARCHAR), fragment_id FROM project_fragments_v WHERE fragment_id NOT IN (SELECT fragment_id FROM faulty WHERE fragment_id IS NOT NULL)"""
+UNION ALL SELECT 'duplicate', fragment_id, CAST(count(*) AS VARCHAR) FROM faulty GROUP BY fragment_id HAVING count(*) > 1
+UNION ALL SELECT 'orphan', 'project_fragments.fragment_id.' || row_id, pf.fragment_id FROM project_fragments_v pf LEFT JOIN faulty f ON f.fragment_id = pf.fragment_id WHERE f.fragment_id IS NULL
+UNION ALL SELECT 'orphan', 'edge_matches.fragment_a_id.' || match_id, em.fragment_a_id FROM matches_v em LEFT JOIN faulty f ON f.fragment_id = em.fragment_a_id WHERE f.fragment_id IS NULL
+UNION ALL SELECT 'orphan', 'edge_matches.fragment_b_id.' || match_id, em.fragment_b_id FROM matches_v em LEFT JOIN faulty f ON f.fragment_id = em.fragment_b_id WHERE f.fragment_id IS NULL"""
 
 
 @query("duplicate_ids", "E3", f"SELECT fragment_id, count(*) AS n FROM ({_FAULTY_SQL}) q GROUP BY fragment_id HAVING count(*) > 1")
@@ -66,7 +68,7 @@ def integrity_summary(src):
     return mt.integrity_summary(_findings(src))
 
 
-@query("has_matches", "E5", "SELECT count(*) > 0 AS has_matches FROM matches_v")
+@query("has_matches", "E5", "SELECT count(*) > 0 AS has_matches, count(*) AS n FROM matches_v")
 def has_matches(src):
     return mt.has_matches(src("matches_v"))
 
@@ -97,9 +99,11 @@ def slo_verdicts(src):
 
 
 @query("label_stats", "E8", """SELECT count(*) AS images, CAST(sum(truth) AS BIGINT) AS total, round(avg(truth), 6) AS mean, median(truth) AS median, min(truth) AS min, max(truth) AS max,
-round(stddev_pop(truth), 6) AS std FROM counts_v""")
+round(stddev_pop(truth), 6) AS std FROM counts_v WHERE image_id % 7 <> 0""")
 def label_stats(src):
-    return rounded(mt.label_stats(src("counts_v"), "truth"), "mean", "std")
+    """A seventh of the images have no label."""
+    labels = src("counts_v").withColumn("truth", F.expr("CASE WHEN image_id % 7 = 0 THEN NULL ELSE truth END"))
+    return rounded(mt.label_stats(labels, "truth"), "mean", "std")
 
 
 @query("label_histogram", "E8", "SELECT truth AS value, count(*) AS n FROM counts_v GROUP BY truth")
@@ -117,13 +121,21 @@ def detection_summary(src):
     return rounded(mt.detection_summary(images, src("detections_v")), "mean_confidence")
 
 
-@query("detection_stats", "E9", """SELECT (SELECT count(*) FROM orders) AS images, count(DISTINCT image_id) AS with_detections, count(*) AS detections,
-round(count(*) / CAST((SELECT count(*) FROM orders) AS DOUBLE), 6) AS per_image, round(avg(confidence), 6) AS mean_confidence FROM detections_v WHERE confidence >= 0.25""")
+_IMAGE_LINES = """SELECT o_orderkey AS image_id, count(det_id) AS n, coalesce(avg(confidence), 0) AS c FROM orders LEFT JOIN detections_v ON image_id = o_orderkey AND confidence >= 0.25 GROUP BY o_orderkey"""
+
+
+@query("detection_stats", "E9", f"""SELECT count(*) AS images, count(*) FILTER (n > 0) AS with_detections, CAST(sum(n) AS BIGINT) AS detections, round(avg(n), 6) AS per_image,
+min(n) AS min_lines, max(n) AS max_lines, round(avg(c), 6) AS mean_confidence FROM ({_IMAGE_LINES}) q""")
 def detection_stats(src):
     images = src("orders").selectExpr("o_orderkey AS image_id")
     return rounded(mt.detection_stats(images, src("detections_v")), "per_image", "mean_confidence")
 
 
+@query("detection_histogram", "E9", f"SELECT n AS value, count(*) AS n FROM ({_IMAGE_LINES}) q GROUP BY q.n")
+def detection_histogram(src):
+    return mt.detection_histogram(src("orders").selectExpr("o_orderkey AS image_id"), src("detections_v"))
+
+
 @query("line_count_accuracy", "E10", """SELECT count(*) AS images, count(*) FILTER (truth = predicted) AS exact, round(avg(CASE WHEN truth = predicted THEN 1 ELSE 0 END), 6) AS exact_accuracy,
 round(avg(CASE WHEN abs(predicted - truth) <= 1 THEN 1 ELSE 0 END), 6) AS off_by_one_accuracy, round(avg(abs(predicted - truth)), 6) AS mae,
 round(sqrt(avg((predicted - truth) * (predicted - truth))), 6) AS rmse FROM counts_v""")
@@ -206,7 +218,7 @@ def multilabel_summary(src):
     return rounded(done, "exact_match", "micro_accuracy", "piece_accuracy")
 
 
-_JUDGE = """SELECT a.path, CASE WHEN a.id % 31 = 0 THEN 'no contour' ELSE 'ok' END AS status, a.has_top_edge AS t_top, a.has_bottom_edge AS t_bottom, a.has_left_edge AS t_left, a.has_right_edge AS t_right,
+_JUDGE = """SELECT a.path, CASE WHEN a.id % 31 = 0 THEN 'segmentation' WHEN a.id % 17 = 0 THEN 'prediction' ELSE 'ok' END AS status, CASE WHEN a.id % 2 = 0 THEN 'bbox_runs' ELSE 'hull_segments' END AS method, a.has_top_edge AS t_top, a.has_bottom_edge AS t_bottom, a.has_left_edge AS t_left, a.has_right_edge AS t_right,
 coalesce(f.has_top_edge, false) AS p_top, coalesce(f.has_bottom_edge, false) AS p_bottom, coalesce(f.has_left_edge, false) AS p_left, coalesce(f.has_right_edge, false) AS p_right
 FROM {annotations_v} a JOIN {fragments_v} f ON f.id = a.id WHERE a.reviewed AND NOT a.skipped"""
 _JUDGE_SQL = _JUDGE.replace("{", "").replace("}", "")
@@ -218,15 +230,16 @@ def _judge(src):
     return src.spark.sql(_JUDGE, annotations_v=src("annotations_v"), fragments_v=src("fragments_v"))
 
 
-@query("annotation_side_metrics", "E14", f"""SELECT side, tp + tn + fp + fn AS labelled, tp, tn, fp, fn, {_RATES.format(empty='NULL')} FROM (SELECT side, {_CELLS} FROM (
-SELECT 'top' AS side, t_top AS truth, p_top AS g FROM ({_JUDGE_SQL}) a UNION ALL SELECT 'bottom', t_bottom, p_bottom FROM ({_JUDGE_SQL}) b
-UNION ALL SELECT 'left', t_left, p_left FROM ({_JUDGE_SQL}) c UNION ALL SELECT 'right', t_right, p_right FROM ({_JUDGE_SQL}) d) q WHERE truth IS NOT NULL GROUP BY side) r""")
+@query("annotation_side_metrics", "E14", f"""SELECT method, side, tp + tn + fp + fn AS labelled, tp, tn, fp, fn, {_RATES.format(empty='NULL')} FROM (SELECT method, side, {_CELLS} FROM (
+SELECT method, status, 'top' AS side, t_top AS truth, p_top AS g FROM ({_JUDGE_SQL}) a UNION ALL SELECT method, status, 'bottom', t_bottom, p_bottom FROM ({_JUDGE_SQL}) b
+UNION ALL SELECT method, status, 'left', t_left, p_left FROM ({_JUDGE_SQL}) c UNION ALL SELECT method, status, 'right', t_right, p_right FROM ({_JUDGE_SQL}) d) q WHERE status = 'ok' AND truth IS NOT NULL GROUP BY method, side) r""")
 def annotation_side_metrics(src):
     return rounded(mt.annotation_side_metrics(_judge(src)), "accuracy", "precision", "recall", "f1")
 
 
-@query("annotation_summary", "E14", f"""SELECT count(*) AS samples, count(*) FILTER (status = 'ok') AS evaluated, count(*) FILTER (status <> 'ok') AS failed, count(*) FILTER (status = 'ok' AND known > 0) AS rated,
-count(*) FILTER (status = 'ok' AND known > 0 AND errors = 0) AS exact, round(count(*) FILTER (status = 'ok' AND known > 0 AND errors = 0) / CAST(count(*) FILTER (status = 'ok' AND known > 0) AS DOUBLE), 6) AS exact_accuracy FROM ({_JUDGED}) x""")
+@query("annotation_summary", "E14", f"""SELECT method, count(*) AS samples, count(*) FILTER (status = 'ok') AS evaluated, count(*) FILTER (status = 'segmentation') AS segmentation_failures,
+count(*) FILTER (status = 'prediction') AS prediction_failures, count(*) FILTER (status = 'ok' AND known > 0) AS rated, count(*) FILTER (status = 'ok' AND known > 0 AND errors = 0) AS exact,
+round(count(*) FILTER (status = 'ok' AND known > 0 AND errors = 0) / CAST(nullif(count(*) FILTER (status = 'ok' AND known > 0), 0) AS DOUBLE), 6) AS exact_accuracy FROM ({_JUDGED}) x GROUP BY method""")
 def annotation_summary(src):
     return rounded(mt.annotation_summary(_judge(src)), "exact_accuracy")
 
@@ -236,13 +249,24 @@ def worst_annotations(src):
     return mt.worst_annotations(_judge(src)).select("path", "errors")
 
 
-@query("tune_thresholds", "E15", f"""SELECT side, threshold, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY f1 DESC, threshold) AS rn FROM (
-SELECT side, threshold, CASE WHEN tp > 0 THEN 2 * (tp / CAST(tp + fp AS DOUBLE)) * (tp / CAST(tp + fn AS DOUBLE)) / (tp / CAST(tp + fp AS DOUBLE) + tp / CAST(tp + fn AS DOUBLE)) ELSE 0 END AS f1 FROM (SELECT side, threshold, {_CELLS} FROM (
-SELECT l.side, l.truth, t.threshold, l.p >= t.threshold AS g FROM ({_LONG}) l, (SELECT unnest([0.2e0, 0.25e0, 0.3e0, 0.35e0, 0.4e0, 0.45e0, 0.5e0, 0.55e0, 0.6e0, 0.65e0, 0.7e0, 0.75e0, 0.8e0]) AS threshold) t) q GROUP BY side, threshold) r) s) u WHERE rn = 1""")
+def _tuning(grid: str) -> str:
+    """The first threshold of a grid, in its order, with the best F1 of each side."""
+    return f"""SELECT side, threshold, round(f1, 6) AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY f1 DESC, turn) AS rn FROM (
+SELECT side, threshold, turn, CASE WHEN tp > 0 THEN 2 * (tp / CAST(tp + fp AS DOUBLE)) * (tp / CAST(tp + fn AS DOUBLE)) / (tp / CAST(tp + fp AS DOUBLE) + tp / CAST(tp + fn AS DOUBLE)) ELSE 0 END AS f1 FROM (SELECT side, threshold, turn, {_CELLS} FROM (
+SELECT l.side, l.truth, t.threshold, t.turn, l.p >= t.threshold AS g FROM ({_LONG}) l, (SELECT unnest([{grid}]) AS threshold, generate_subscripts([{grid}], 1) AS turn) t) q GROUP BY side, threshold, turn) r) s) u WHERE rn = 1"""
+
+
+@query("tune_thresholds", "E15", _tuning("0.2e0, 0.25e0, 0.3e0, 0.35e0, 0.4e0, 0.45e0, 0.5e0, 0.55e0, 0.6e0, 0.65e0, 0.7e0, 0.75e0, 0.8e0"))
 def tune_thresholds(src):
     return rounded(mt.tune_thresholds(src("sides_v")), "f1")
 
 
+@query("tune_falling_thresholds", "E15", _tuning("0.99e0, 0.98e0, 0.6e0, 0.02e0, 0.2e0, 0.01e0"))
+def tune_falling_thresholds(src):
+    """A grid out of order with thresholds that tie: the first in the given order wins."""
+    return rounded(mt.tune_thresholds(src("sides_v"), [0.99, 0.98, 0.6, 0.02, 0.2, 0.01]), "f1")
+
+
 @query("aggregate_seeds", "E16", """SELECT event_type AS method, 'exact' AS metric, count(*) AS seeds, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM (
 SELECT event_type, user_id, avg(value) AS v FROM events GROUP BY event_type, user_id) q GROUP BY event_type""")
 def aggregate_seeds(src):
@@ -291,17 +315,23 @@ def reviewed_by_collection(src):
 _LABELS = """SELECT label, count(*) FILTER (hit) AS n FROM (SELECT 'top' AS label, has_top_edge AS hit FROM {0} UNION ALL SELECT 'bottom', has_bottom_edge FROM {0} UNION ALL SELECT 'left', has_left_edge FROM {0}
 UNION ALL SELECT 'right', has_right_edge FROM {0} UNION ALL SELECT 'corner', coalesce(CAST(has_top_edge AS INT), 0) + coalesce(CAST(has_bottom_edge AS INT), 0) + coalesce(CAST(has_left_edge AS INT), 0) + coalesce(CAST(has_right_edge AS INT), 0) >= 2 FROM {0}) q GROUP BY label"""
 TARGETS_SQL = f"""SELECT r.label, r.n AS reviewed_positives, p.n AS predicted_positives FROM ({_LABELS.format('(SELECT * FROM annotations_v WHERE reviewed AND NOT skipped) a')}) r
-JOIN ({_LABELS.format('fragments_v')}) p ON p.label = r.label"""
+JOIN ({_LABELS.format('(SELECT * FROM fragments_v WHERE id % 4 <> 3) f')}) p ON p.label = r.label"""
+
+
+def target_rows(src):
+    """A quarter of the predicted fragments are not among the images at hand."""
+    predictions = src("fragments_v").withColumnRenamed("image_path", "path")
+    return mt.target_summary(src("annotations_v"), predictions, predictions.filter("id % 4 <> 3").select("path"))
 
 
 @query("target_summary", "E19 E20", TARGETS_SQL)
 def target_summary(src):
-    return mt.target_summary(src("annotations_v"), src("fragments_v"))
+    return target_rows(src)
 
 
 @query("auto_targets", "E20", f"SELECT label FROM ({TARGETS_SQL}) t WHERE predicted_positives > 0 ORDER BY reviewed_positives, predicted_positives DESC, label LIMIT 3")
-def auto_targets(src):
-    return mt.auto_targets(mt.target_summary(src("annotations_v"), src("fragments_v"))).select("label")
+def autotarget_rows(src):
+    return mt.auto_targets(target_rows(src)).select("label")
 
 
 @query("best_checkpoint", "E21", """WITH fresh AS (SELECT *, coalesce(score > max(score) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_new FROM history_v),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import layout as lay
 from ..operators import metrics as mt
 from ..operators import ranking as rk
-from .metric_queries import TARGETS_SQL
+from .metric_queries import TARGETS_SQL, target_rows
 from .registry import query
 
 _CUT = "CASE WHEN place <= floor(n * {a} + 0.5e0) THEN 'train' WHEN place <= floor(n * ({a} + {b}) + 0.5e0) THEN 'val' ELSE 'test' END AS split"
@@ -54,7 +54,7 @@ tiered AS (SELECT *, CASE WHEN reviewed THEN 2 WHEN score > 0 THEN 0 ELSE 1 END
 nth AS (SELECT *, max(score) OVER (PARTITION BY tier, collection) AS best, row_number() OVER (PARTITION BY tier, collection ORDER BY score DESC, md5('s::' || tier || '|' || path), path) AS nth FROM tiered)
 SELECT path, tier, row_number() OVER (ORDER BY tier, nth, seen, best DESC, md5('s::' || tier || '|rank|' || n.collection), n.collection) AS position FROM nth n JOIN {_SEEN} ON c.collection = n.collection""")
 def targeted_order(src):
-    summary = mt.target_summary(src("annotations_v"), src("fragments_v")).filter("label IN ('corner', 'left', 'right')")
+    summary = target_rows(src).filter("label IN ('corner', 'left', 'right')")
     predictions = src("fragments_v").join(src("annotations_v").select("id", "path"), "id")
     return rk.targeted_order(src("annotations_v"), predictions, summary, "s").select("path", "tier", "position")
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..operators import ranking as rk
+from ..session import shared_folder
 from ..sources import readers as rd
 from ..sources import writers as wr
 from ..streaming.ingest import ingest_stream, pending
@@ -15,9 +15,8 @@ from .registry import query
 
 
 def _folder(src) -> str:
-    """A fresh folder on the storage the session names for checkpoints; local only where none is named."""
-    root = src.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sherdline-out-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A fresh folder on the shared storage of the session."""
+    return f"{shared_folder(src.spark)}/{uuid.uuid4().hex}"
 
 
 @query("ingest_images", "A2", """SELECT fragment_id, min(image_path) AS image_path, 'pending' AS processing_status FROM (
