@@ -1,7 +1,9 @@
 """Which sides of a fragment are straight borders and which are tears, by four heuristics.
 
 Each heuristic takes outlines (``id, xs, ys`` and, for the scaled one, ``pixels_per_unit``) and gives
-one row per fragment and side: ``side, coverage, line_err`` and ``border`` (NULL without support).
+one row per fragment and side: ``side, coverage, line_err`` and ``border`` (NULL without support).  No
+fragment is left out: one without an outline, or with one that cannot be judged, has four sides without
+support, and ``edges_by_method`` names the reason.
 """
 
 from __future__ import annotations
@@ -94,7 +96,7 @@ def hull_segments(
     best = sided.groupBy("id", "side").agg(
         F.max(F.struct(coverage.alias("coverage"), (-F.col("__no")).alias("first"), F.col("__fit.err").alias("err"))).alias("best")
     )
-    all_sides = enough.select("id", F.explode(F.array(*[F.lit(s) for s in SIDE_EDGES])).alias("side"))
+    all_sides = df.select("id", F.explode(F.array(*[F.lit(s) for s in SIDE_EDGES])).alias("side"))
     return all_sides.join(best, ["id", "side"], "left").select(
         "id", "side", F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"), F.col("best.err").alias("line_err"),
         (F.col("best.err") <= max_err).alias("border"),
@@ -102,8 +104,8 @@ def hull_segments(
 
 
 def _oriented(df: DataFrame, window: int, passes: int) -> DataFrame:
-    """Outlines in their oriented frame: ``u, v, width, height``."""
-    framed = df.withColumn("__f", oriented_frame(window, passes)(F.col("xs"), F.col("ys"))).filter(F.col("__f.xs").isNotNull())
+    """Outlines in their oriented frame: ``u, v, width, height``; all NULL where there is no such frame."""
+    framed = df.withColumn("__f", oriented_frame(window, passes)(F.col("xs"), F.col("ys")))
     sized = {"width": F.greatest(F.array_max("__f.xs"), F.lit(1.0)), "height": F.greatest(F.array_max("__f.ys"), F.lit(1.0))}
     return pl.hold(framed, {"u": F.col("__f.xs"), "v": F.col("__f.ys"), **sized}).drop("__f")
 
@@ -132,8 +134,9 @@ def oriented_runs(
         F.filter(numbered, lambda r: length(r) >= 12),
         lambda r: F.struct(r["no"].alias("no"), whole(F.col("u"), r).alias("ru"), whole(F.col("v"), r).alias("rv")),
     )
-    held = rows.select("id", "side", "width", "height", F.explode_outer(cut).alias("__r")).select(
-        "id", "side", "width", "height", F.col("__r.no").alias("__no"), F.col("__r.ru").alias("__ru"), F.col("__r.rv").alias("__rv")
+    rows = rows.withColumn("judged", F.col("u").isNotNull())
+    held = rows.select("id", "side", "judged", "width", "height", F.explode_outer(cut).alias("__r")).select(
+        "id", "side", "judged", "width", "height", F.col("__r.no").alias("__no"), F.col("__r.ru").alias("__ru"), F.col("__r.rv").alias("__rv")
     )
     n = F.size("__ru")
     off = F.floor(n * trim).cast("int")
@@ -163,6 +166,7 @@ def oriented_runs(
     )
     usable = F.col("coverage") >= min_run
     best = values.withColumn("confidence", confidence).groupBy("id", "side").agg(
+        F.max("judged").alias("judged"),
         F.max(F.when(usable, F.struct("confidence", (-F.col("__no")).alias("first"), "coverage", "line_err", "offset", "angle_err"))).alias("best")
     )
     b = lambda c: F.col(f"best.{c}")
@@ -172,7 +176,7 @@ def oriented_runs(
     return best.select(
         "id", "side", F.coalesce(b("coverage"), F.lit(0.0)).alias("coverage"), b("line_err").alias("line_err"),
         b("offset").alias("offset"), b("angle_err").alias("angle_err"), F.coalesce(b("confidence"), F.lit(0.0)).alias("confidence"),
-        border.alias("border"),
+        border.alias("border"), "judged",
     )
 
 
@@ -203,26 +207,46 @@ def fragment_flags(sides: DataFrame) -> DataFrame:
     return wide.withColumn("piece_type", kind).withColumn("edge_piece", kind != "interior")
 
 
+def _outline_error() -> Column:
+    n = F.coalesce(F.size("xs"), F.lit(0))
+    return F.when(n < 1, "segmentation_coords missing contours").when(n < 3, "No valid contours")
+
+
 def edges_by_method(df: DataFrame, method: str) -> DataFrame:
+    """Flags, piece type and ``error`` of every fragment; flags are NULL where there is an error."""
     if method not in METHODS:
         raise ValueError(f"Unsupported edge method: {method}")
-    return fragment_flags(METHODS[method](df))
+    sides = METHODS[method](df)
+    found = fragment_flags(sides)
+    if "judged" in sides.columns:
+        found = found.join(sides.groupBy("id").agg(F.max("judged").alias("judged")), "id")
+    else:
+        found = found.withColumn("judged", F.lit(True))
+    rows = df.select("id", _outline_error().alias("error")).join(found, "id", "left")
+    error = F.coalesce("error", F.when(~F.coalesce("judged", F.lit(False)), F.lit("Contour too small")))
+    names = [c for c in found.columns if c not in ("id", "judged")]
+    return rows.withColumn("error", error).select("id", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in names], "error")
 
 
 def edges_with_fallback(df: DataFrame, classified: DataFrame, fallback: str | None) -> DataFrame:
     """Classifier flags where it gave any; rows it failed on go through the fallback heuristic.
 
-    ``classified`` has ``id``, the four ``has_<side>`` flags and ``error``.  Without a fallback the
-    failed rows keep their error.
+    ``classified`` has ``id``, the four ``has_<side>`` flags and ``error``.  ``method`` says what gave the
+    flags; ``fallback_error`` keeps why the classifier failed.  Every id comes back: where the fallback
+    fails too, or there is none, ``method`` and the flags are NULL and ``error`` is the last error.
     """
     flags = [f"has_{s}" for s in SIDE_EDGES]
     kind = piece_type(*[F.col(f) for f in flags])
+    none = F.lit(None).cast("string")
     good = classified.filter("error IS NULL").select(
         "id", *flags, kind.alias("piece_type"), (kind != "interior").alias("edge_piece"),
-        F.lit("classifier").alias("method"), F.lit(None).cast("string").alias("error"),
+        F.lit("classifier").alias("method"), none.alias("error"), none.alias("fallback_error"),
     )
-    failed = classified.filter("error IS NOT NULL").select("id", "error")
+    failed = classified.filter("error IS NOT NULL").select("id", F.col("error").alias("fallback_error"))
     if fallback in (None, "", "none"):
-        return good.unionByName(failed, allowMissingColumns=True)
-    again = edges_by_method(df.join(failed.select("id"), "id", "left_semi"), fallback)
-    return good.unionByName(again.withColumn("method", F.lit(fallback)).join(failed, "id"))
+        return good.unionByName(failed.select("id", F.col("fallback_error").alias("error")), allowMissingColumns=True)
+    again = edges_by_method(df.join(failed.select("id"), "id", "left_semi"), fallback).withColumn("__seen", F.lit(True))
+    tried = failed.join(again, "id", "left").withColumn(
+        "error", F.when(F.col("__seen").isNull(), F.lit("segmentation_coords missing contours")).otherwise(F.col("error"))
+    )
+    return good.unionByName(tried.withColumn("method", F.when(F.col("error").isNull(), F.lit(fallback))).drop("__seen"))

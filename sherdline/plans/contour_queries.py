@@ -229,21 +229,47 @@ def hull_segments(src):
 
 @query("oriented_runs", "H17")
 def oriented_runs(src):
-    return _round(bd.oriented_runs(src("contours_v")), "coverage", "line_err", "confidence")
+    return _round(bd.oriented_runs(src("contours_v")), "coverage", "line_err", "confidence").drop("judged")
 
 
 @query("oriented_runs_scaled", "H18")
 def oriented_runs_scaled(src):
-    return _round(bd.oriented_runs_scaled(src("contours_v")), "coverage", "line_err", "confidence")
+    return _round(bd.oriented_runs_scaled(src("contours_v")), "coverage", "line_err", "confidence").drop("judged")
 
 
-@query("edges_with_fallback", "H20 G7", f"""WITH sides AS ({_NEAR}), flags AS (SELECT id, coalesce(bool_or(border) FILTER (side = 'top_edge'), false) AS t, coalesce(bool_or(border) FILTER (side = 'bottom_edge'), false) AS b,
+# failed by the classifier: a quarter; of those some without an outline row, with a NULL one, or with two points
+_FALLBACK = f"""WITH sides AS ({_NEAR}), flags AS (SELECT id, coalesce(bool_or(border) FILTER (side = 'top_edge'), false) AS t, coalesce(bool_or(border) FILTER (side = 'bottom_edge'), false) AS b,
 coalesce(bool_or(border) FILTER (side = 'left_edge'), false) AS l, coalesce(bool_or(border) FILTER (side = 'right_edge'), false) AS r FROM sides GROUP BY id),
-chosen AS (SELECT f.id, f.id % 4 = 1 AS failed, CASE WHEN f.id % 4 = 1 THEN g.t ELSE coalesce(has_top_edge, false) END AS t, CASE WHEN f.id % 4 = 1 THEN g.b ELSE coalesce(has_bottom_edge, false) END AS b,
+chosen AS (SELECT f.id, f.id % 4 = 1 AS failed, CASE WHEN f.id % 20 IN (1, 5) THEN 'segmentation_coords missing contours' WHEN f.id % 20 = 9 THEN 'No valid contours' END AS second,
+CASE WHEN f.id % 4 = 1 THEN g.t ELSE coalesce(has_top_edge, false) END AS t, CASE WHEN f.id % 4 = 1 THEN g.b ELSE coalesce(has_bottom_edge, false) END AS b,
 CASE WHEN f.id % 4 = 1 THEN g.l ELSE coalesce(has_left_edge, false) END AS l, CASE WHEN f.id % 4 = 1 THEN g.r ELSE coalesce(has_right_edge, false) END AS r FROM fragments_v f JOIN flags g ON g.id = f.id)
-SELECT id, t AS has_top_edge, CASE WHEN failed THEN 'bbox_runs' ELSE 'classifier' END AS method, CASE WHEN failed THEN 'no model' END AS error,
-CASE WHEN (t OR b) AND (l OR r) THEN 'corner' WHEN t OR b OR l OR r THEN 'edge' ELSE 'interior' END AS piece_type FROM chosen""")
-def edges_with_fallback(src):
+SELECT id, CASE WHEN second IS NULL THEN t END AS has_top_edge, CASE WHEN second IS NOT NULL THEN NULL WHEN failed THEN 'bbox_runs' ELSE 'classifier' END AS method, second AS error, CASE WHEN failed THEN 'no model' END AS fallback_error,
+CASE WHEN second IS NOT NULL THEN NULL WHEN (t OR b) AND (l OR r) THEN 'corner' WHEN t OR b OR l OR r THEN 'edge' ELSE 'interior' END AS piece_type FROM chosen"""
+
+
+def _with_fallback(src, method: str):
     flags = [f"coalesce(has_{s}, false) AS has_{s}" for s in bd.SIDE_EDGES]
     classified = src("fragments_v").selectExpr("id", *flags, "CASE WHEN id % 4 = 1 THEN 'no model' END AS error")
-    return bd.edges_with_fallback(src("contours_v"), classified, "bbox_runs").select("id", "has_top_edge", "method", "error", "piece_type")
+    spoilt = lambda c: f"CASE WHEN id % 20 = 5 THEN NULL WHEN id % 20 = 9 THEN slice({c}, 1, 2) ELSE {c} END AS {c}"
+    outlines = src("contours_v").filter("id % 20 <> 1").selectExpr("id", "pixels_per_unit", spoilt("xs"), spoilt("ys"))
+    return bd.edges_with_fallback(outlines, classified, method)
+
+
+@query("edges_with_fallback", "H20 G7", _FALLBACK)
+def edges_with_fallback(src):
+    return _with_fallback(src, "bbox_runs").select("id", "has_top_edge", "method", "error", "fallback_error", "piece_type")
+
+
+def _fallback_outcome(method: str) -> str:
+    """What becomes of each fragment, whichever the heuristic: method, errors, and flags where there are any."""
+    return f"""SELECT id, CASE WHEN id % 4 <> 1 THEN 'classifier' WHEN id % 20 IN (1, 5, 9) THEN NULL ELSE '{method}' END AS method, CASE WHEN id % 20 IN (1, 5) THEN 'segmentation_coords missing contours'
+WHEN id % 20 = 9 THEN 'No valid contours' END AS error, CASE WHEN id % 4 = 1 THEN 'no model' END AS fallback_error, id % 20 NOT IN (1, 5, 9) AS judged FROM fragments_v"""
+
+
+for _method in ("hull_segments", "oriented_runs", "oriented_runs_scaled"):
+
+    @query(f"fallback_{_method}", "H20 " + {"hull_segments": "H16", "oriented_runs": "H17", "oriented_runs_scaled": "H18"}[_method], _fallback_outcome(_method))
+    def _outcome(src, method=_method):
+        flags = [F.col(f"has_{s}").isNotNull() for s in bd.SIDE_EDGES]
+        judged = flags[0] & flags[1] & flags[2] & flags[3] & F.col("piece_type").isNotNull()
+        return _with_fallback(src, method).select("id", "method", "error", "fallback_error", judged.alias("judged"))
