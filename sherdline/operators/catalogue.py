@@ -92,13 +92,14 @@ def scan_fragments(
     df: DataFrame,
     limit: int | None = None,
     offset: int | None = None,
-    ids: Sequence[int] | None = None,
+    ids: Sequence[str] | None = None,
     status: str | None = None,
     collection: str | None = None,
 ) -> DataFrame:
+    """A page of the catalogue by id; ``ids`` are fragment ids, and an empty list means all."""
     conditions = []
-    if ids is not None:
-        conditions.append(F.col("id").isin(*ids))
+    if ids:
+        conditions.append(F.col("fragment_id").isin(*ids))
     if status is not None:
         conditions.append(F.col("processing_status") == status)
     if collection is not None:

@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import clean_options, filter_key
+from ..functions.text import clean_options, filter_key, script_stored
 from .catalogue import IDENTIFIER, assign_filter_keys
 
 # The fields a person may edit.  The bulk form leaves out the two text fields.
-BULK_FIELDS = (
-    "edge_piece has_top_edge has_bottom_edge has_left_edge has_right_edge has_circle line_count script_type "
-    "scale_unit pixels_per_unit scale_detection_status ui_rotation"
-).split()
+BULK_FIELDS = [
+    "edge_piece", "has_top_edge", "has_bottom_edge", "has_left_edge", "has_right_edge", "has_circle", "line_count", "script_type",
+    "scale_unit", "pixels_per_unit", "scale_detection_status", "ui_rotation",
+]
 STATIC_FIELDS = [*BULK_FIELDS, "transcription", "notes"]
 
 
@@ -30,10 +30,12 @@ class Changed(NamedTuple):
 
 
 def _last_edit(updates: DataFrame, key: str, fields: Sequence[str], order: str | None) -> DataFrame:
-    """One row per key: the edit with the highest ``order``; partial maxima keep a hot key off one task."""
+    """One row per key: the edit with the highest ``order``; partial maxima keep a hot key off one task.
+    Without ``order`` a key may come once only."""
     values = F.struct(*[F.col(f) for f in fields])
     if order is None:
-        return updates.select(key, values.alias("__new")).dropDuplicates([key])
+        twice = F.raise_error(F.concat(F.lit("several edits without an order for "), F.any_value(F.col(key)).cast("string")))
+        return updates.groupBy(key).agg(F.when(F.count(F.lit(1)) > 1, twice).otherwise(F.any_value(values)).alias("__new"))
     return updates.groupBy(key).agg(F.max_by(values, F.col(order)).alias("__new"))
 
 
@@ -88,9 +90,11 @@ def split_valid(updates: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def bulk_update(table: DataFrame, ids: DataFrame, values: Mapping[str, Column], custom: Sequence[str] = (), now: Column | None = None) -> Changed:
-    """The same values on many rows, checked first."""
+    """The same values on many rows: checked first, script names as shown, then stored by their stored name."""
     good, _ = split_valid(ids.select("fragment_id", *[v.alias(k) for k, v in values.items()]))
-    return update_metadata(table, good, custom=custom, bulk=True, now=now)
+    if "script_type" in good.columns:
+        good = good.withColumn("script_type", script_stored(F.col("script_type")))
+    return update_metadata(table, good.distinct(), custom=custom, bulk=True, now=now)
 
 
 def update_rotations(table: DataFrame, rotations: DataFrame, order: str | None = None, now: Column | None = None) -> Changed:
@@ -161,13 +165,27 @@ def add_filter_columns(fragments: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ensure_columns(fragments, {key: "string" for key in keys})
 
 
+def _filter_row(registry: DataFrame, key: str):
+    """The registry's row of a filter, whose columns are few."""
+    row = registry.filter(F.col("filter_key") == key).select("filter_key", "type").first()
+    if row is None:
+        raise ValueError("Filter not found")
+    if not IDENTIFIER.match(key):
+        raise ValueError("Invalid filter key")
+    return row
+
+
 def delete_filter(registry: DataFrame, fragments: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Drops the filter; its column stays with NULLs."""
+    """Drops the filter; its column stays with NULLs.  An unknown key is an error."""
+    _filter_row(registry, key)
     return registry.filter(F.col("filter_key") != key), fragments.withColumn(key, F.lit(None).cast("string"))
 
 
 def update_filter_options(registry: DataFrame, fragments: DataFrame, key: str, options: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """New options for a dropdown; values outside them become NULL."""
+    """New options for a dropdown; values outside them become NULL.  An unknown key, and a filter that is no
+    dropdown, is an error."""
+    if _filter_row(registry, key)["type"] != "multiselect":
+        raise ValueError("Only dropdown filters have options")
     cleaned = list(dict.fromkeys(o.strip() for o in options if o.strip()))
     if not cleaned:
         raise ValueError("At least one option is required")
@@ -205,6 +223,13 @@ def save_projects(project_fragments: DataFrame, states: DataFrame, saved: DataFr
     return kept.unionByName(rows, allowMissingColumns=True)
 
 
+def stamp_projects(projects: DataFrame, saved: DataFrame, now: Column) -> DataFrame:
+    """Saved projects (``project_id``) get a new time stamp, so that they lead the list."""
+    hits = saved.select(F.col("project_id").alias("id"), F.lit(True).alias("__saved")).distinct()
+    stamped = projects.join(hits, "id", "left")
+    return stamped.withColumn("updated_at", F.when(F.col("__saved"), now).otherwise(F.col("updated_at"))).drop("__saved")
+
+
 def load_project(project_fragments: DataFrame, project_id: int) -> DataFrame:
     return project_fragments.filter(F.col("project_id") == project_id).orderBy("z_index")
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import piece_type
-from .ordering import join_on, sorted_rank
+from .ordering import join_on
 
 SIDE_EDGES = ("top_edge", "bottom_edge", "left_edge", "right_edge")
 
@@ -80,10 +80,10 @@ def needs_processing(kind: str, version: str, skip_processed: bool = True, force
     """
     differs = lambda c: ~F.col(c).eqNullSafe(F.lit(version))
     tests = {
-        "line": lambda: differs("line_model_version"),
-        "script": lambda: F.col("script_type").isNull() | differs("script_model_version"),
+        "line": lambda: differs("line_detection_model_version"),
+        "script": lambda: F.col("script_type").isNull() | differs("script_type_classification_model_version"),
         "segmentation": lambda: F.col("segmentation_coords").isNull() | differs("segmentation_model_version"),
-        "count": lambda: F.col("line_count").isNull() | differs("count_model_version"),
+        "count": lambda: F.col("line_count").isNull() | differs("classification_model_version"),
         "scale": lambda: F.col("scale_unit").isNull() | differs("scale_model_version"),
         "circle": lambda: F.col("has_circle").isNull(),
         "edges": lambda: F.lit(True),
@@ -118,10 +118,26 @@ def run_outcome(results: DataFrame) -> DataFrame:
 
 
 def lines_from_detections(detections: DataFrame, min_confidence: float = 0.25) -> DataFrame:
-    """Detections above the threshold, numbered from the top of their image."""
+    """Detections above the threshold, numbered from the top of their image (an image has few)."""
     kept = detections.filter(F.col("confidence") >= min_confidence)
-    return sorted_rank(kept, ["image_id"], [F.col("y1"), F.col("det_no"), F.col("det_id")], out="line_id").withColumnRenamed(
-        "line_id_of", "num_lines"
+    image = Window.partitionBy("image_id")
+    return kept.withColumn("line_id", F.row_number().over(image.orderBy("y1", "det_no", "det_id"))).withColumn(
+        "num_lines", F.count(F.lit(1)).over(image)
+    )
+
+
+def lines_record(images: DataFrame, detections: DataFrame, version: str, min_confidence: float = 0.25) -> DataFrame:
+    """One record for every image: its lines from the top with number, box and confidence, their count and
+    mean confidence; an image without detections has an empty list, count 0 and confidence 0."""
+    box = F.struct("x1", "y1", "x2", "y2").alias("bbox")
+    kept = detections.filter(F.col("confidence") >= min_confidence)
+    line = F.when(F.col("confidence").isNotNull(), F.struct("y1", "det_no", "det_id", box, "confidence"))
+    found = images.select("image_id").join(kept, "image_id", "left").groupBy("image_id").agg(
+        F.sort_array(F.collect_list(line)).alias("lines"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence")
+    )
+    number = lambda x, i: F.struct((i + 1).alias("line_id"), x["bbox"].alias("bbox"), x["confidence"].alias("confidence"))
+    return found.select(
+        "image_id", F.size("lines").alias("num_lines"), F.transform("lines", number).alias("lines"), "mean_confidence", F.lit(version).alias("model_version")
     )
 
 

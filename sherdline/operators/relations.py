@@ -57,16 +57,17 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
 def build_samples(annotations: DataFrame, fragments: DataFrame, listing: DataFrame, require_scale: bool = False, excluded: str = "uploads/example.png") -> DataFrame:
     """Annotations beside their fragment, with one flag per step of the funnel.
 
-    ``fragments`` has ``image_path, segmentation_coords, pixels_per_unit, scale_detection_status``;
-    ``listing`` has the ``path`` of every image file there is.
+    ``fragments`` has ``id, image_path, segmentation_coords, pixels_per_unit, scale_detection_status``; of
+    several rows with one path the last by id counts.  ``listing`` has the ``path`` of every image file there is.
     """
-    catalogue = fragments.select(
-        normalize_path(F.col("image_path")).alias("path"),
+    known = F.struct(
         F.lit(True).alias("in_catalogue"),
         (F.length("segmentation_coords") > 0).alias("segmented"),
         (F.col("pixels_per_unit").isNotNull() & (F.col("scale_detection_status") == "success")).alias("scaled"),
         "pixels_per_unit",
-    ).dropDuplicates(["path"])
+    )
+    by_path = fragments.groupBy(normalize_path(F.col("image_path")).alias("path")).agg(F.max_by(known, F.col("id")).alias("known"))
+    catalogue = by_path.select("path", "known.*")
     files = listing.select("path", F.lit(True).alias("on_disk")).dropDuplicates(["path"])
     yes = lambda name: F.coalesce(F.col(name), F.lit(False))
     labelled = F.lit(True)

@@ -36,6 +36,14 @@ def scan_fragments(src):
     )
 
 
+@query("scan_ids", "A1", """SELECT id, fragment_id FROM fragments_v WHERE fragment_id IN ('OR10_10A', 'OR13_13B', 'OR16_16A', 'none')
+UNION ALL SELECT -id, fragment_id FROM fragments_v WHERE processing_status = 'failed'""")
+def scan_ids(src):
+    """Named fragments, then an empty list of names, which leaves out none."""
+    named = cat.scan_fragments(src("fragments_v"), ids=["OR10_10A", "OR13_13B", "OR16_16A", "none"]).select("id", "fragment_id")
+    return named.union(cat.scan_fragments(src("fragments_v"), ids=[], status="failed").select(-F.col("id"), "fragment_id"))
+
+
 @query("scan_offset_without_limit", "A1 B9", "SELECT id, fragment_id FROM fragments_v WHERE processing_status = 'pending'")
 def scan_offset_without_limit(src):
     return cat.scan_fragments(src("fragments_v"), offset=30, status="pending").select("id", "fragment_id")

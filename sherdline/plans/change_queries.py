@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import changes as ch
@@ -33,15 +34,15 @@ def update_changes(src):
     return ch.update_metadata(src("fragments_v"), _edits(src), order="edit_no").changes
 
 
-@query("bulk_update", "C1", f"""SELECT id, CASE WHEN hit AND ok THEN v ELSE line_count END AS line_count,
+@query("bulk_update", "C1", f"""SELECT id, CASE WHEN hit AND ok THEN CASE id % 3 WHEN 0 THEN 'South Turkestan Brahmi' WHEN 1 THEN 'Turkestan Gupta Type' END ELSE script_type END AS script_type, CASE WHEN hit AND ok THEN v ELSE line_count END AS line_count,
 CASE WHEN hit AND ok THEN NULL ELSE museum END AS museum, notes, CASE WHEN hit AND ok THEN {NOW} END AS updated_at FROM (
 SELECT f.*, f.id % 130 - 10 AS v, f.id % 130 - 10 BETWEEN 0 AND 100 AS ok, f.fragment_id IN (SELECT fragment_a_id FROM matches_v WHERE score < 0.1) AS hit FROM fragments_v f) q""")
 def bulk_update(src):
     ids = src("matches_v").filter("score < 0.1").select(F.col("fragment_a_id").alias("fragment_id")).distinct()
     ids = src("fragments_v").join(ids, "fragment_id", "left_semi")
-    values = {"line_count": F.expr("id % 130 - 10").cast("double"), "museum": F.lit("  "), "notes": F.lit("not allowed here")}
+    values = {"line_count": F.expr("id % 130 - 10").cast("double"), "museum": F.lit("  "), "notes": F.lit("not allowed here"), "script_type": F.expr("CASE id % 3 WHEN 0 THEN 'South Turkestan Brāhmī (main type)' WHEN 1 THEN 'Turkestan Gupta Type' ELSE '' END")}
     done = ch.bulk_update(src("fragments_v"), ids, values, custom=["museum"], now=F.expr(NOW))
-    return done.table.select("id", F.col("line_count").cast("long").alias("line_count"), "museum", "notes", "updated_at")
+    return done.table.select("id", "script_type", F.col("line_count").cast("long").alias("line_count"), "museum", "notes", "updated_at")
 
 
 @query("rejected_updates", "C1 B15", """SELECT id, CASE WHEN id % 130 - 10 < 0 THEN 'Line count cannot be negative' ELSE 'Line count must be 100 or less' END AS error
@@ -113,13 +114,13 @@ def list_filters(src):
 
 @query("delete_filter", "C4", "SELECT id, CAST(NULL AS VARCHAR) AS museum FROM fragments_v")
 def delete_filter(src):
-    registry = src("region").selectExpr("r_regionkey AS id", "'museum' AS filter_key")
+    registry = src("region").selectExpr("r_regionkey AS id", "'museum' AS filter_key", "'text' AS type")
     return ch.delete_filter(registry, src("fragments_v"), "museum")[1].select("id", "museum")
 
 
 @query("update_filter_options", "C4", "SELECT id, CASE WHEN museum IN ('London', 'Paris') THEN museum END AS museum FROM fragments_v")
 def update_filter_options(src):
-    registry = src("region").selectExpr("r_regionkey AS id", "'museum' AS filter_key", "'[]' AS options")
+    registry = src("region").selectExpr("r_regionkey AS id", "'museum' AS filter_key", "'multiselect' AS type", "'[]' AS options")
     return ch.update_filter_options(registry, src("fragments_v"), "museum", [" London", "Paris", "", "Paris "])[1].select("id", "museum")
 
 
@@ -150,6 +151,15 @@ def list_projects(src):
     return ch.list_projects(src("projects_v"))
 
 
+@query("list_saved_projects", "C5", f"""SELECT id, updated_at, row_number() OVER (ORDER BY updated_at DESC, id) AS place FROM (SELECT id, CASE WHEN id % 3 = 1 THEN {NOW} ELSE updated_at END AS updated_at FROM projects_v) p ORDER BY updated_at DESC, id LIMIT 500""")
+def list_saved_projects(src):
+    """A saved project leads the list."""
+    saved = src("orders").filter("o_orderkey % 3 = 1").selectExpr("o_orderkey AS project_id")
+    first = ch.list_projects(ch.stamp_projects(src("projects_v"), saved, F.expr(NOW))).limit(500)
+    place = F.row_number().over(Window.orderBy(F.col("updated_at").desc(), "id"))  # of the 500 rows of the page
+    return first.select("id", "updated_at", place.alias("place"))
+
+
 @query("rename_projects", "C5", f"""SELECT id, CASE WHEN id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 'renamed' ELSE project_name END AS project_name,
 CASE WHEN id IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN {NOW} ELSE updated_at END AS updated_at FROM projects_v""")
 def rename_projects(src):

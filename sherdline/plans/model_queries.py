@@ -41,7 +41,7 @@ def score_batches(src):
 _VERSIONED = [
     "id", "script_type", "line_count", "scale_unit", "has_circle",
     "CASE WHEN has_segmentation THEN '{}' END AS segmentation_coords",
-    *[f"model_version AS {k}_model_version" for k in ("line", "script", "segmentation", "count", "scale")],
+    *[f"model_version AS {k}_model_version" for k in ("line_detection", "script_type_classification", "segmentation", "classification", "scale")],
 ]
 _NEW = "model_version IS DISTINCT FROM '2.0'"
 
@@ -82,6 +82,20 @@ def lines_from_detections(src):
     return mo.lines_from_detections(slim).select("det_id", "image_id", "line_id", "num_lines")
 
 
+@query("lines_record", "G4", """SELECT o_orderkey AS image_id, coalesce(n, 0) AS num_lines, coalesce(line_ids, '') AS line_ids, coalesce(tops, '') AS tops, round(coalesce(c, 0), 6) AS mean_confidence, '2.1' AS model_version FROM orders LEFT JOIN (
+SELECT image_id, count(*) AS n, avg(confidence) AS c, string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) AS line_ids, string_agg(CAST(CAST(y1 AS BIGINT) AS VARCHAR) || '/' || det_id, ',' ORDER BY place) AS tops FROM (
+SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY y1, det_no, det_id) AS place FROM detections_v WHERE confidence >= 0.25) d GROUP BY image_id) e ON image_id = o_orderkey""")
+def lines_record(src):
+    """The detection ids stand in for the x coordinates, to show which line is which."""
+    detections = src("detections_v").withColumn("x1", F.col("det_id"))
+    rows = mo.lines_record(src("orders").selectExpr("o_orderkey AS image_id"), detections, "2.1")
+    return rows.select(
+        "image_id", "num_lines", F.array_join(F.transform("lines", lambda x: x["line_id"].cast("string")), ",").alias("line_ids"),
+        F.array_join(F.transform("lines", lambda x: F.concat_ws("/", x["bbox"]["y1"].cast("long").cast("string"), x["bbox"]["x1"])), ",").alias("tops"),
+        F.round("mean_confidence", 6).alias("mean_confidence"), "model_version",
+    )
+
+
 @query("circle_flag", "G5", "SELECT o_orderkey AS image_id, o_orderkey IN (SELECT image_id FROM detections_v WHERE class_no = 0 AND confidence >= 0.6) AS has_circle FROM orders")
 def circle_flag(src):
     return mo.circle_flag(src("orders").selectExpr("o_orderkey AS image_id"), src("detections_v"), 0.6)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import metrics as mt
 from ..operators import ranking as rk
 from ..session import shared_folder
 from ..sources import readers as rd
@@ -97,6 +98,38 @@ def scan_log_errors(src):
     return rd.scan_log_errors(lines).withColumn("sample", F.array_join("sample", "|"))
 
 
+@query("list_images", "A2", "SELECT n_name AS folder, n_nationkey AS n FROM nation")
+def list_images(src):
+    """Files under a root whose name reads as a pattern, listed by their place under it."""
+    root = f"{_folder(src)}/im(1)+x [a]"
+    rows = src("nation").selectExpr("n_name", "n_nationkey", "explode(sequence(0, int(n_nationkey))) AS i").filter("i > 0 OR n_nationkey = 0")
+    rows.select("n_name", "i", F.lit("x").alias("value")).repartition("n_name", "i").write.partitionBy("n_name", "i").text(root)
+    listed = rd.list_images(src.spark, root).filter("path LIKE '%.txt'")
+    place = F.split("path", "/")
+    folder = F.regexp_replace(place[0], "^n_name=", "")
+    counts = listed.groupBy(folder.alias("folder")).agg(F.count_if(place[1] != "i=0").alias("n"))
+    return counts
+
+
+@query("scan_log_files", "A8", """SELECT 2 * count(*) AS error_lines, 0 AS missing, (SELECT string_agg(l, '|' ORDER BY event_id) FROM (SELECT event_id, 'ERROR ' || event_id AS l FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT 10) a) AS sample FROM events WHERE event_type = 'error'""")
+def scan_log_files(src):
+    """Two logs, the second written first; a log that is not there counts nothing."""
+    folder = _folder(src)
+    lines = src("events").filter("event_type = 'error'").selectExpr("event_id", "'ERROR ' || event_id AS value")
+    for name in ("b.log", "a.log"):
+        lines.repartitionByRange(3, "event_id").sortWithinPartitions("event_id").select("value").write.text(f"{folder}/{name}")
+    found = rd.scan_log_errors(rd.read_log(src.spark, f"{folder}/*.log"))
+    missing = rd.scan_log_errors(rd.read_log(src.spark, f"{folder}/none.log")).select("error_lines").scalar()
+    return found.select("error_lines", missing.alias("missing"), F.array_join("sample", "|").alias("sample"))
+
+
+@query("no_matches_yet", "E5", "SELECT false AS has_matches, 0 AS n, count(*) AS fragments FROM part")
+def no_matches_yet(src):
+    """A table of matches that nobody has written."""
+    stored = rd.read_or_empty(src.spark, f"{_folder(src)}/matches", "match_id string, score double")
+    return mt.has_matches(stored).withColumn("fragments", src("part").agg(F.count(F.lit(1))).scalar())
+
+
 @query("ingest_stream", "K1 G2", """SELECT 'F' || CAST(user_id AS VARCHAR) AS fragment_id, 'pending' AS processing_status FROM events GROUP BY user_id""")
 def ingest_stream_query(src):
     folder = _folder(src)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +18,27 @@ _ANNOTATIONS = "annotations map<string, struct<{}, reviewed: string, skipped: st
 
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
-    """Paths under ``root``, relative to it, without reading the files' content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    base = F.lit(root.rstrip("/") + "/")
-    return files.select(F.element_at(F.split("path", base), -1).alias("path"), F.col("length").alias("size"))
+    """Paths under ``root``, relative to it, without reading the files' content.  The root is plain text,
+    whatever characters it holds; listed paths are full ones and begin with it but for a scheme."""
+    escaped = re.sub(r"([\\{}\[\]*?])", r"\\\1", root)  # characters that a path pattern would read otherwise
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(escaped).select("path", "length")
+    base = re.sub(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "", root.rstrip("/")) + "/"
+    start = F.locate(base, F.col("path")) + F.lit(len(base))
+    return files.select(F.expr("path").substr(start, F.length("path")).alias("path"), F.col("length").alias("size"))
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table, or an empty one of the schema where there is none yet."""
+    return _or_empty(spark, lambda: spark.read.schema(schema).parquet(path), schema)
+
+
+def _or_empty(spark: SparkSession, read, schema: str) -> DataFrame:
+    try:
+        return read()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def new_fragments(listing: DataFrame, existing: DataFrame) -> DataFrame:
@@ -34,11 +54,12 @@ def new_fragments(listing: DataFrame, existing: DataFrame) -> DataFrame:
 
 def parse_annotations(stores: DataFrame, text: str = "value") -> DataFrame:
     """Annotation stores (JSON text with an object keyed by path) as rows; a label that is not a boolean
-    is NULL, missing fields get their defaults."""
+    is NULL, missing fields get their defaults.  Of the spellings of one path in a store the last counts."""
     truthy = lambda c: F.coalesce(~F.col(c).isin("", "false", "0"), F.lit(False))
-    rows = stores.select(F.explode(F.from_json(text, _ANNOTATIONS)["annotations"]).alias("path", "r")).select("path", "r.*")
-    return rows.select(
-        normalize_path(F.col("path")).alias("path"), *SIDES, truthy("reviewed").alias("reviewed"), truthy("skipped").alias("skipped"),
+    rows = stores.select(F.posexplode(F.from_json(text, _ANNOTATIONS)["annotations"]).alias("place", "path", "r"))
+    last = rows.groupBy(normalize_path(F.col("path")).alias("path")).agg(F.max_by("r", "place").alias("r")).select("path", "r.*")
+    return last.select(
+        "path", *SIDES, truthy("reviewed").alias("reviewed"), truthy("skipped").alias("skipped"),
         F.coalesce("notes", F.lit("")).alias("notes"), "updated_at",
     )
 
@@ -62,20 +83,24 @@ def load_label_txt(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines with a number that follows the order inside each file."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    """Log lines with their file, block and a number that follows the order in the block; none without a file."""
+
+    def read() -> DataFrame:
+        return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+    lines = _or_empty(spark, read, "value string, file string, block long")
     return lines.withColumn("line_no", F.monotonically_increasing_id())
 
 
 def scan_log_errors(lines: DataFrame, sample: int = 10) -> DataFrame:
     """One row: lines holding ERROR or CRITICAL, and the first of them, trimmed.
 
-    ``lines`` has ``line_no, value``.  Only the sample, a handful of rows, is put together.
+    ``lines`` has ``line_no, value``, and ``file, block`` where there are several files, which then come in
+    the order of their names.  Only the sample, a handful of rows, is put together.
     """
     bad = lines.filter(F.col("value").rlike("ERROR|CRITICAL"))
-    first = bad.orderBy("line_no").limit(sample).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct("line_no", F.trim("value").alias("line")))), lambda r: r["line"]
-        )
+    order = [c for c in ("file", "block", "line_no") if c in lines.columns]
+    first = bad.orderBy(*order).limit(sample).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(*order, F.trim("value").alias("line")))), lambda r: r["line"])
     )
     return bad.agg(F.count(F.lit(1)).alias("error_lines")).withColumn("sample", first.scalar())

@@ -28,6 +28,7 @@ def annotation_export(images: DataFrame, annotations: DataFrame) -> DataFrame:
         F.element_at(F.split("path", "/"), -1).alias("filename"), *SIDES, any_edge(*[F.col(s) for s in SIDES]).alias("edge_piece"),
         F.coalesce("reviewed", F.lit(False)).alias("reviewed"), F.coalesce("skipped", F.lit(False)).alias("skipped"),
         F.coalesce("notes", F.lit("")).alias("notes"),
+        *(["updated_at"] if "updated_at" in annotations.columns else []),
     )
 
 
