@@ -24,11 +24,16 @@ LENGTH_TOLERANCE = 0.30
 POINTS = 80
 EPS = 1e-10
 
-BIN_WIDTH = math.log(1.0 / (1.0 - LENGTH_TOLERANCE))  # any admissible pair is at most one bin apart
+#: Log lengths of a candidate minus its query's, for the two candidate tests (a hair wider, for rounding).
+REACH = {
+    "window": (math.log(1.0 - LENGTH_TOLERANCE) - 1e-9, math.log(1.0 + LENGTH_TOLERANCE) + 1e-9),
+    "ratio": (math.log(1.0 - LENGTH_TOLERANCE) - 1e-9, -math.log(1.0 - LENGTH_TOLERANCE) + 1e-9),
+}
+TILE = 512  # queries of a block that are scored together
 SCORE_PLACES = 9  # scores are rounded so that equal scores tie in every plan
 
 PAIR_SCHEMA = (
-    "edge_a long, edge_b long, score double, shape double, fourier double, length double, cm_shape double, histogram double"
+    "edge_a {0}, edge_b {0}, score double, shape double, fourier double, length double, cm_shape double, histogram double"
 )
 
 
@@ -43,7 +48,7 @@ def matchable(edges: DataFrame) -> DataFrame:
     return kept.select(
         "edge_id", "script_type",
         F.when(F.col("position").isin("left", "right"), "across").otherwise("down").alias("axis"),
-        F.floor(F.log("length_cm") / BIN_WIDTH).cast("int").alias("bin"),
+        F.log("length_cm").alias("log_length"), (F.col("asks") if "asks" in edges.columns else F.lit(True)).alias("asks"),
         base_id(F.col("fragment_id")).alias("base"),
         F.col("line_count").cast("double").alias("line_count"), F.col("length_cm").cast("double").alias("length_cm"),
         F.concat("shape_x", "shape_y").alias("shape"), "fourier", "histogram", F.col("radius_cm").cast("double").alias("radius_cm"),
@@ -116,9 +121,12 @@ def _block_scorer(k: int, mode: str):
     """
 
     def score(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({n: pd.Series(dtype=float) for n in ("edge_a", "edge_b", "score", *WEIGHTS)})
-        if queries.empty or candidates.empty:
-            return empty
+        tiles = [tile(queries.iloc[at : at + TILE], candidates) for at in range(0, len(queries), TILE)] if len(candidates) else []
+        return pd.concat(tiles) if tiles else empty
+
+    empty = pd.DataFrame({n: pd.Series(dtype=object if n.startswith("edge") else float) for n in ("edge_a", "edge_b", "score", *WEIGHTS)})
+
+    def tile(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         allowed = _compatible(queries, candidates, mode)
         if not allowed.any():
             return empty
@@ -144,36 +152,44 @@ def _block_scorer(k: int, mode: str):
         parts = _parts(q, c, i, j)
         scores = np.round(sum(WEIGHTS[w] * parts[w] for w in WEIGHTS), SCORE_PLACES)
         b = candidates["edge_id"].to_numpy()[j]
-        order = np.lexsort((b, scores, i))
+        order = np.lexsort((np.unique(b, return_inverse=True)[1], scores, i))
         starts = np.concatenate(([0], np.cumsum(np.bincount(i, minlength=len(low)))[:-1]))
         kept = order[(np.arange(len(order)) - starts[i[order]]) < k]
+        name = lambda values: pd.Series(values, dtype=values.dtype)  # noqa: E731 - ids may be text; plain objects join as they are
         return pd.DataFrame(
-            {"edge_a": queries["edge_id"].to_numpy()[i[kept]], "edge_b": b[kept], "score": scores[kept], **{w: parts[w][kept] for w in WEIGHTS}}
+            {"edge_a": name(queries["edge_id"].to_numpy()[i[kept]]), "edge_b": name(b[kept]), "score": scores[kept], **{w: parts[w][kept] for w in WEIGHTS}}
         )
 
     return score
 
 
-def find_matches(edges: DataFrame, k: int = 5, mode: str = "window", rows: int = 1024) -> DataFrame:
+def find_matches(edges: DataFrame, k: int = 5, mode: str = "window", rows: int = 4096) -> DataFrame:
     """The best ``k`` candidates of every matchable edge, with the parts of the score.
 
+    With a boolean column ``asks`` only edges for which it holds are queries; all are candidates.
+
     ``window``: the candidate's length lies in 0.7..1.3 of the query's, as the indexed search has it.
     ``ratio``: the gap is at most 0.3 of the longer edge, as the full test has it.
     """
-    scored = meet_blocks(matchable(edges), ["script_type", "axis"], "edge_id", _block_scorer(k, mode), PAIR_SCHEMA, "bin", rows)
+    schema = PAIR_SCHEMA.format(edges.schema["edge_id"].dataType.simpleString())
+    scored = meet_blocks(
+        matchable(edges), ["script_type", "axis"], "edge_id", _block_scorer(k, mode), schema, "log_length", REACH[mode], rows, "asks"
+    )
     return keep_best(scored, "edge_a", k, ["score", "edge_b"])
 
 
-def candidate_edges(edges: DataFrame, mode: str = "window", rows: int = 1024) -> DataFrame:
+def candidate_edges(edges: DataFrame, mode: str = "window", rows: int = 4096) -> DataFrame:
     """Per edge how many candidates pass the test, the sum of their ids and their mean length gap.
 
     The candidate lists themselves grow with the square of a bucket; they are read inside a block
     and only their summary leaves it.
     """
 
+    def tiled(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+        tiles = [count(queries.iloc[at : at + TILE], candidates) for at in range(0, len(queries), TILE)] if len(candidates) else []
+        return pd.concat(tiles) if tiles else pd.DataFrame({n: pd.Series(dtype=float) for n in ("edge_a", "n", "id_sum", "gap_sum")})
+
     def count(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or candidates.empty:
-            return pd.DataFrame({n: pd.Series(dtype=float) for n in ("edge_a", "n", "id_sum", "gap_sum")})
         allowed = _compatible(queries, candidates, mode)
         gap = np.abs(queries["length_cm"].to_numpy()[:, None] - candidates["length_cm"].to_numpy()[None, :])
         return pd.DataFrame({
@@ -182,7 +198,9 @@ def candidate_edges(edges: DataFrame, mode: str = "window", rows: int = 1024) ->
         })
 
     slim = matchable(edges).drop("shape", "fourier", "histogram", "radius_cm")
-    counted = meet_blocks(slim, ["script_type", "axis"], "edge_id", count, "edge_a long, n long, id_sum long, gap_sum double", "bin", rows)
+    counted = meet_blocks(
+        slim, ["script_type", "axis"], "edge_id", tiled, "edge_a long, n long, id_sum long, gap_sum double", "log_length", REACH[mode], rows, "asks"
+    )
     return counted.groupBy("edge_a").agg(
         F.sum("n").alias("n"), F.sum("id_sum").alias("id_sum"), F.sum("gap_sum").alias("gap_sum")
     ).filter("n > 0").select("edge_a", "n", "id_sum", (F.col("gap_sum") / F.col("n")).alias("mean_gap"))
@@ -226,10 +244,16 @@ def confidence(score: Column) -> Column:
     return 1.0 / (1.0 + score)
 
 
+#: The names under which the parts are stored.
+STORED_PARTS = {
+    "shape": "shape_score", "fourier": "fourier_score", "length": "scale_length_penalty", "cm_shape": "scale_shape_score", "histogram": "histogram_distance",
+}
+
+
 def score_details(similarity: Column | None = None, overlap: Column | None = None) -> Column:
-    """Map of the score's parts rounded to six places, similarity and overlap 0 where absent."""
+    """Map of the score's parts by their stored names, rounded to six places; similarity and overlap 0 where absent."""
     zero = F.lit(0.0)
-    entries = {n: F.col(n) for n in WEIGHTS} | {
+    entries = {stored: F.col(n) for n, stored in STORED_PARTS.items()} | {
         "embedding_similarity": zero if similarity is None else F.coalesce(similarity, zero),
         "overlap_ratio": zero if overlap is None else F.coalesce(overlap, zero),
     }
@@ -266,15 +290,18 @@ def match_target(edges: DataFrame, target: str, k: int = 3) -> DataFrame:
 # ---- nearest embeddings (the formula is ours: exact cosine similarity) ---------------------------------------
 
 
-def embedding_candidates(vectors: DataFrame, k: int = 50, rows: int = 2048) -> DataFrame:
+def embedding_candidates(vectors: DataFrame, k: int = 50, rows: int = 4096) -> DataFrame:
     """The ``k`` most similar other items of every item of ``(item, vector)``, exact.
 
     Only the contract of this step is known; cosine similarity is our choice.
     """
 
     def score(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or candidates.empty:
-            return pd.DataFrame({"item": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "similarity": pd.Series(dtype=float)})
+        tiles = [tile(queries.iloc[at : at + TILE], candidates) for at in range(0, len(queries), TILE)] if len(candidates) else []
+        none = pd.DataFrame({"item": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "similarity": pd.Series(dtype=float)})
+        return pd.concat(tiles) if tiles else none
+
+    def tile(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
         a, b = queries["item"].to_numpy(), candidates["item"].to_numpy()
         like = np.round(unit(_matrix(queries["vector"])) @ unit(_matrix(candidates["vector"])).T, SCORE_PLACES)
@@ -414,12 +441,20 @@ def reconstruct(
     """From outlines to ranked, placed matches.
 
     ``contours`` has ``id, fragment_id, xs, ys, image_width, image_height, pixels_per_unit, scale_unit,
-    line_count, script_type``.  ``candidates`` (``fragment_a_id, fragment_b_id, similarity``) keeps only
-    those pairs; ``lines`` (``fragment_id, line_id, centre``) adds text-line continuity to the final score.
+    line_count, script_type``.  With ``candidates`` (``fragment_a_id, fragment_b_id, similarity``) only
+    fragments that have candidates ask, only fragments named in a pair are searched, and of the best
+    3k found only candidate pairs stay.  ``lines`` (``fragment_id, line_id, centre``) adds text-line
+    continuity to the final score.
     """
     eligible = contours.filter(F.col("pixels_per_unit").isNotNull())
-    described = ct.extract_edges(eligible)
-    edges = cut(described.withColumn("edge_id", F.xxhash64("fragment_id", "edge_name")))
+    described = ct.extract_edges(eligible).withColumn("asks", F.lit(True))
+    if candidates is not None:
+        asking = candidates.select(F.col("fragment_a_id").alias("fragment_id")).distinct().withColumn("__asks", F.lit(True))
+        named = asking.select("fragment_id").union(candidates.select("fragment_b_id")).distinct()
+        described = described.join(named, "fragment_id", "left_semi").join(asking, "fragment_id", "left")
+        described = described.withColumn("asks", F.coalesce("__asks", F.lit(False))).drop("__asks")
+    # an edge is known by its fragment and name; the separator stands in neither
+    edges = cut(described.withColumn("edge_id", F.concat_ws("\u001f", "fragment_id", "edge_name")))
     found = cut(find_matches(edges, 3 * k))
 
     def side(letter: str, *extra: str) -> DataFrame:
@@ -456,7 +491,7 @@ def reconstruct(
     ranked = rank_matches(checked, k, keep, tie="edge_b").withColumnRenamed("new_rank", "rank")
     if lines is not None:
         # the pairs meet their lines on both sides, so placement and overlap are kept rather than redone
-        numbered = cut(ranked.withColumn("pair_id", F.xxhash64("edge_a", "edge_b")).withColumn("dy", F.col("relative_y_cm")))
+        numbered = cut(ranked.withColumn("pair_id", F.concat_ws("\u001e", "edge_a", "edge_b")).withColumn("dy", F.col("relative_y_cm")))
         ranked = line_continuity(numbered, lines).drop("pair_id", "dy")
         final = join_score(F.col("score"), F.col("similarity"), F.col("continuity"))
         ranked = rerank(ranked, F.round(final, SCORE_PLACES), tie="edge_b").drop("score", "rank").withColumnsRenamed(
