@@ -4,7 +4,7 @@ import importlib
 
 GROUPS = (
     "catalogue_queries change_queries relation_queries metric_queries ranking_queries "
-    "model_queries contour_queries matching_queries ruler_queries source_queries"
+    "model_queries contour_queries matching_queries ruler_queries source_queries known_queries"
 ).split()
 
 

@@ -166,8 +166,10 @@ def edge_descriptors(src):
     return _round(long, "length_cm", "shape_x", "shape_y")
 
 
-@query("fourier", "H11", f"""{_ALONG}, {_KEPT}, terms AS (SELECT id, edge_name, k, sqrt(power(sum(nx * cos(2 * pi() * k * t / 80) + ny * sin(2 * pi() * k * t / 80)), 2) + power(sum(ny * cos(2 * pi() * k * t / 80) - nx * sin(2 * pi() * k * t / 80)), 2)) AS m
-FROM normal, (SELECT unnest(range(1, 17)) AS k) a GROUP BY id, edge_name, k) SELECT a.id, a.edge_name, a.k, round(a.m / b.m, 4) AS term FROM terms a JOIN terms b ON a.id = b.id AND a.edge_name = b.edge_name AND b.k = 1""")
+@query("fourier", "H11", f"""{_ALONG}, {_KEPT}, shapes AS MATERIALIZED (SELECT id, edge_name, list(nx ORDER BY t) AS xs, list(ny ORDER BY t) AS ys FROM normal GROUP BY id, edge_name),
+terms AS (SELECT id, edge_name, list_transform(range(1, 17), lambda k: sqrt(power(list_sum(list_transform(range(80), lambda t: xs[t + 1] * cos(2 * pi() * k * t / 80) + ys[t + 1] * sin(2 * pi() * k * t / 80))), 2)
++ power(list_sum(list_transform(range(80), lambda t: ys[t + 1] * cos(2 * pi() * k * t / 80) - xs[t + 1] * sin(2 * pi() * k * t / 80))), 2))) AS ms FROM shapes)
+SELECT id, edge_name, k, round(ms[k] / ms[1], 4) AS term FROM terms, (SELECT unnest(range(1, 17)) AS k) a""")
 def fourier(src):
     long = _descriptors(src).select("id", "edge_name", F.posexplode("fourier").alias("k", "term"))
     return _round(long.withColumn("k", F.col("k") + 1), "term")
