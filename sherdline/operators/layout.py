@@ -48,17 +48,16 @@ def auto_layout(matches: DataFrame, min_confidence: float = 0.5, max_pairs: int
     )
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        placed: dict[str, tuple[float, float]] = {}
-        rows = []
-        for p in group.sort_values("k").itertuples(index=False):
-            if p.fragment_a_id not in placed:
-                placed[p.fragment_a_id] = ((p.k % 5) * 200.0, (p.k // 5) * 200.0)
-                rows.append((p.fragment_a_id, *placed[p.fragment_a_id], 0.0, p.k * 2))
-            ax, ay = placed[p.fragment_a_id]
-            if p.fragment_b_id not in placed:
-                placed[p.fragment_b_id] = (ax + p.relative_x_cm * grid, ay + p.relative_y_cm * grid)
-                rows.append((p.fragment_b_id, *placed[p.fragment_b_id], p.rotation_deg, p.k * 2 + 1))
-        return pd.DataFrame(rows, columns=["fragment_id", "x", "y", "rotation", "z_index"])
+        group = group.sort_values("k")
+        anchors = pd.DataFrame({"fragment_id": group["fragment_a_id"], "on": None, "x": group["k"] % 5 * 200.0, "y": group["k"] // 5 * 200.0, "rotation": 0.0, "z_index": 2 * group["k"]})
+        partners = pd.DataFrame({
+            "fragment_id": group["fragment_b_id"], "on": group["fragment_a_id"], "x": group["relative_x_cm"] * grid, "y": group["relative_y_cm"] * grid,
+            "rotation": group["rotation_deg"], "z_index": 2 * group["k"] + 1,
+        })
+        first = pd.concat([anchors, partners]).sort_values("z_index").drop_duplicates("fragment_id").set_index("fragment_id")
+        for fragment, anchor in first["on"].dropna().items():  # offsets become places, each after its anchor's
+            first.loc[fragment, ["x", "y"]] += first.loc[anchor, ["x", "y"]]
+        return first.reset_index()[["fragment_id", "x", "y", "rotation", "z_index"]]
 
     return pairs.withColumn("layout", F.lit("auto")).groupBy("layout").applyInPandas(fold, "fragment_id string, x double, y double, rotation double, z_index long")
 

@@ -322,25 +322,27 @@ _OPPOSITE = [("left", "right"), ("right", "left"), ("top", "bottom"), ("bottom",
 _PLACEMENT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("relative_x_cm", "relative_y_cm", "rotation_deg", "alignment_error")])
 
 
-def fit_similarity(src: np.ndarray, dst: np.ndarray) -> tuple[float, float, float, float]:
-    """Rotation, scale and shift that bring complex points ``dst`` onto ``src``, in closed form, and the
-    mean distance left."""
-    s, d = src - src.mean(), dst - dst.mean()
-    ss, ds = np.sqrt(np.mean(np.abs(s) ** 2)), np.sqrt(np.mean(np.abs(d) ** 2))
-    turn = np.exp(1j * np.angle(np.sum(s * np.conj(d)))) * (ss / ds if ds > 0 else 1.0)
-    shift = src.mean() - turn * dst.mean()
-    return shift.real, shift.imag, math.degrees(np.angle(turn)), float(np.mean(np.abs(src - (turn * dst + shift))))
-
-
-def place_polyline(ax, ay, bx, by, flip: bool) -> tuple[float, float, float, float] | None:
-    """Best fit of edge b onto edge a over cyclic shifts of a tenth of the points."""
-    n = min(len(ax), len(bx), 50)
-    a, b = (_even(np.asarray(x) + 1j * np.asarray(y), n) for x, y in ((ax, ay), (bx, by)))
-    if a is None or b is None or n < 2:
-        return None
-    b = b[::-1] if flip else b
-    fits = [fit_similarity(a, np.roll(b, s)) for s in range(0, n, max(1, n // 10))]
-    return min(fits, key=lambda f: f[3])
+def fit_similarities(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """For every row of complex points the shift, turn and scale that bring ``dst`` onto ``src``, in closed
+    form: columns x, y, degrees and the mean distance left."""
+    middle = lambda z: z.mean(axis=1, keepdims=True)
+    s, d = src - middle(src), dst - middle(dst)
+    ss, ds = (np.sqrt((np.abs(z) ** 2).mean(axis=1)) for z in (s, d))
+    turn = np.exp(1j * np.angle((s * np.conj(d)).sum(axis=1))) * np.divide(ss, ds, out=np.ones_like(ss), where=ds > 0)
+    shift = middle(src)[:, 0] - turn * middle(dst)[:, 0]
+    left = np.abs(src - (turn[:, None] * dst + shift[:, None])).mean(axis=1)
+    return np.column_stack((shift.real, shift.imag, np.degrees(np.angle(turn)), left))
+
+
+def place_polylines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Best fit of each row of ``b`` onto the row of ``a`` over cyclic shifts of a tenth of the points."""
+    n = a.shape[1]
+    best = fit_similarities(a, b)
+    for shift in range(max(1, n // 10), n, max(1, n // 10)):
+        fit = fit_similarities(a, np.roll(b, shift, axis=1))
+        better = fit[:, 3] < best[:, 3]
+        best[better] = fit[better]
+    return best
 
 
 def _even(points: np.ndarray, n: int) -> np.ndarray | None:
@@ -353,8 +355,18 @@ def _even(points: np.ndarray, n: int) -> np.ndarray | None:
 
 @F.pandas_udf(_PLACEMENT)
 def _place(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, flip: pd.Series) -> pd.DataFrame:
-    rows = [place_polyline(*r) or (None,) * 4 for r in zip(ax, ay, bx, by, flip)]
-    return pd.DataFrame(rows, columns=[f.name for f in _PLACEMENT.fields])
+    out = np.full((len(ax), 4), np.nan)
+    by_size: dict[int, list[tuple]] = {}
+    for row, (x, y, u, v, turned) in enumerate(zip(ax, ay, bx, by, flip)):
+        n = min(len(x), len(u), 50)
+        a, b = _even(np.asarray(x) + 1j * np.asarray(y), n), _even(np.asarray(u) + 1j * np.asarray(v), n)
+        if n >= 2 and a is not None and b is not None and len(a) == len(b) == n:
+            by_size.setdefault(n, []).append((row, a, b[::-1] if turned else b))
+    for group in by_size.values():  # nearly always one size, 50
+        rows, a, b = zip(*group)
+        out[list(rows)] = place_polylines(np.stack(a), np.stack(b))
+    frame = pd.DataFrame(out, columns=[f.name for f in _PLACEMENT.fields]).astype(object)
+    return frame.where(frame.notna(), None)
 
 
 def placement(a: str, b: str) -> Column:

@@ -61,7 +61,7 @@ def targeted_order(src):
 
 @query("weighted_sample", "F6", """WITH classes AS (SELECT truth, count(*) AS size, row_number() OVER (ORDER BY truth) - 1 AS k, count(*) OVER () AS m FROM logits_v GROUP BY truth),
 places AS (SELECT image_id, truth, row_number() OVER (PARTITION BY truth ORDER BY md5('42|' || image_id), image_id) AS place FROM logits_v),
-draws AS (SELECT draw, CAST('0x' || substr(md5('42::class|' || draw), 1, 8) AS BIGINT) / 4294967296e0 AS u, CAST('0x' || substr(md5('42::place|' || draw), 1, 8) AS BIGINT) / 4294967296e0 AS v FROM (SELECT unnest(range(1, 5001)) AS draw) r)
+draws AS (SELECT draw, CAST('0x' || substr(md5('42::class|' || draw), 1, 13) AS BIGINT) / 4503599627370496e0 AS u, CAST('0x' || substr(md5('42::place|' || draw), 1, 13) AS BIGINT) / 4503599627370496e0 AS v FROM (SELECT unnest(range(1, 5001)) AS draw) r)
 SELECT draw, c.truth, image_id FROM draws JOIN classes c ON c.k = CAST(floor(u * m) AS BIGINT) JOIN places p ON p.truth = c.truth AND p.place = CAST(floor(v * size) AS BIGINT) + 1""")
 def weighted_sample(src):
     scored = src("logits_v").select("image_id", F.col("truth").cast("long").alias("truth"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sherdline.operators import borders as bd
+from sherdline.operators import changes as ch
 from sherdline.operators import layout as lay
 from sherdline.operators import matching as mm
 from sherdline.operators import metrics as mt
@@ -175,7 +176,7 @@ def test_placement_recovers_motion():
         walk = np.cumsum(rng.normal(size=60) + 1j * rng.normal(size=60))
         angle, shift = rng.uniform(-3, 3), complex(*rng.normal(size=2) * 5)
         moved = (walk - shift) * np.exp(-1j * angle)  # b in its own frame
-        dx, dy, turn, error = mm.place_polyline(walk.real, walk.imag, moved.real, moved.imag, False)
+        dx, dy, turn, error = mm.place_polylines(walk[None], moved[None])[0]
         assert np.allclose([dx, dy], [shift.real, shift.imag], atol=1e-6) and error < 1e-6
         assert abs((np.radians(turn) - angle + np.pi) % (2 * np.pi) - np.pi) < 1e-6
 
@@ -192,7 +193,7 @@ def test_fit_equals_svd():
             r = vt.T @ u.T
         scale = np.sqrt((s**2).sum() / (d**2).sum())
         shift = a.mean(0) - scale * r @ b.mean(0)
-        got = mm.fit_similarity(a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1])
+        got = mm.fit_similarities(a[None, :, 0] + 1j * a[None, :, 1], b[None, :, 0] + 1j * b[None, :, 1])[0]
         assert np.allclose(got[:2], shift) and np.isclose(got[2], np.degrees(np.arctan2(r[1, 0], r[0, 0])))
 
 
@@ -231,6 +232,60 @@ def test_oriented_borders(spark):
         bd.edges_by_method(df, "other")
 
 
+def test_fragments_that_cannot_be_judged_stay(spark):
+    good = [(10.0, 10.0), (200.0, 10.0), (200.0, 150.0), (10.0, 150.0)]
+    rows = [(1, *outline(good)), (2, None, None), (3, [1.0, 2.0], [1.0, 2.0]), (4, [5.0, 6.0, 5.0], [5.0, 5.0, 6.0]), (5, [], [])]
+    df = spark.createDataFrame(rows, "id long, xs array<double>, ys array<double>").withColumn("pixels_per_unit", F.lit(50.0))
+    flags = ", ".join(f"has_{s} boolean" for s in bd.SIDE_EDGES)
+    classified = spark.createDataFrame([(i, *[None] * 4, "no model") for i in range(1, 7)] + [(7, True, False, False, False, None)], f"id long, {flags}, error string")
+    for method in bd.METHODS:
+        sides = bd.METHODS[method](df)
+        assert sides.groupBy("id").count().filter("count = 4").count() == len(rows)
+        out = {r["id"]: r for r in bd.edges_with_fallback(df, classified, method).collect()}
+        assert sorted(out) == [1, 2, 3, 4, 5, 6, 7] and out[7]["method"] == "classifier"
+        assert out[1]["method"] == method and out[1]["error"] is None and out[1]["fallback_error"] == "no model"
+        for i in (2, 3, 5, 6):
+            assert out[i]["method"] is None and out[i]["error"] and out[i]["piece_type"] is None
+        assert (out[4]["method"] is None) == (out[4]["error"] is not None)
+    alone = {r["id"]: r for r in bd.edges_with_fallback(df, classified, None).collect()}
+    assert len(alone) == 7 and alone[1]["error"] == "no model"
+
+
+def test_repeated_edits_need_an_order(spark):
+    table = spark.createDataFrame([("a", 1), ("b", 2)], "fragment_id string, line_count int")
+    edits = spark.createDataFrame([("a", 5), ("a", 6)], "fragment_id string, line_count int")
+    with pytest.raises(Exception, match="several edits"):
+        ch.update_metadata(table, edits).table.collect()
+
+
+def test_nothing_is_written_outside_the_shared_folder(spark):
+    from sherdline.session import cut, shared_folder
+
+    cut(spark.range(3).toDF("x")).count()
+    assert spark.sparkContext.getCheckpointDir().removeprefix("file:").startswith(shared_folder(spark).removeprefix("file:"))
+
+
+def test_blocks_copy_an_edge_no_more_than_its_window(spark):
+    """With many blocks only those whose length ranges come within reach meet."""
+    from sherdline.operators.blocks import meet_blocks
+
+    rng = np.random.default_rng(4)
+    place = rng.uniform(0, 6, 4000)
+    df = spark.createDataFrame([(i, "k", float(p)) for i, p in enumerate(place)], "item long, bucket string, place double")
+    reach = (-0.35, 0.26)
+
+    def count(queries, candidates):
+        gap = candidates["place"].to_numpy()[None, :] - queries["place"].to_numpy()[:, None]
+        near = ((gap >= reach[0]) & (gap <= reach[1])).sum(axis=1)
+        return pd.DataFrame({"item": queries["item"], "near": near, "met": len(candidates)})
+
+    got = meet_blocks(df, ["bucket"], "item", count, "item long, near long, met long", "place", reach, rows=100).groupBy("item").sum().toPandas()
+    got = got.sort_values("item")
+    expected = [int(((place - p >= reach[0]) & (place - p <= reach[1])).sum()) for p in place]
+    assert got["sum(near)"].tolist() == expected
+    assert got["sum(met)"].mean() < 2.2 * np.mean(expected)  # three whole bins would be 2.6 times and the rest of the window
+
+
 def test_threshold_tuning(spark):
     rows = [(0, 0.9, 0.45, 0.3, 0.55), (1, 0.1, 0.7, 0.55, 0.2), (2, 0.8, 0.2, 0.9, 0.6)]
     truth = [(True, True, False, True), (False, True, True, False), (True, False, True, True)]
