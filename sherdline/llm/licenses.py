@@ -6,14 +6,15 @@
 2. Templates are cut into pieces of up to seven shingles.  Band k of a window or a piece is the least of its
    shingle hashes under the k-th bit flip.  A run of s shingles of a piece shares a band with its window
    with probability 1 - (1 - s/9)^8 at least: 0.998 for five, 0.9998 for six, 0.99999 for seven, and a
-   longer template has that chance with each of its pieces.  Pieces of up to four shingles must be held
+   longer template has that chance with each of its pieces.  Templates of up to four shingles must be held
    whole to pass, so they are looked up by one shingle at every place, which never misses; templates of
    fewer than five words are one shingle of all their words and are looked up likewise.
 3. A template that any band retrieves for a document is verified exactly: the share of its shingles (as
    words, not hashes) that the document holds must be ``CONTAINED`` or more.
 
-The bands are computed row by row after one explode, inside generated code; nothing but the few retrieved
-rows is ever shuffled.  Templates are a library of bounded size (``MOST_PIECES`` pieces, else an error), so
+The bands are computed row by row after one explode, inside generated code (the shingle hashes, then the
+bands, each stand behind a one-element explode: else the optimizer would copy the hashes into every band, and
+the generated method would be too long to be compiled); nothing but the few retrieved rows is ever shuffled.  Templates are a library of bounded size (``MOST_PIECES`` pieces, else an error), so
 their bands are literals of the query.
 
 A null text is an empty one.  A document has one row for each license it holds; rows that repeat an id and a
@@ -78,8 +79,7 @@ def notices(spark: SparkSession) -> DataFrame:
 
 
 def words(text: str = "text") -> Column:
-    found = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS)
-    return F.filter(found, lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SEPARATORS), "")
 
 
 def shingles(of: Column, size: Column) -> Column:
@@ -140,19 +140,22 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, contained: float =
     hashed = chosen.filter(F.size("words") > 0).select("doc_id", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     places = hashed.select("doc_id", "words", "hashes", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(STEP))).alias("at"))
     at = F.col("at")
-    views = []  # (band, value) that a place shows
-    if any(band >= 0 for band in known):
-        views += list(enumerate(_bands([_hash(at + i) for i in range(WINDOW)])))
-    for band in sorted(b for b in known if b < 0):
-        views += [(band, _hash(at + i, SHINGLE if band == -1 else -1 - band)) for i in range(STEP)]
-    if not views:
-        return places.select("doc_id", F.lit("").alias("license"), F.lit(0).alias("n_found"), F.lit(0.0).alias("containment")).limit(0)
-    hits = [F.when(value.isin(known[band]), F.struct(F.lit(band).alias("band"), value.alias("key"))) for band, value in views]
-    hit = None
+    held = {f"h{i}": _hash(at + i) for i in range(WINDOW)}
+    lookups = {-1: [f"h{i}" for i in range(STEP)]}
+    for band in sorted(b for b in known if b < -1):
+        lookups[band] = [f"r{-band}_{i}" for i in range(STEP)]
+        held |= {name: _hash(at + i, -1 - band) for i, name in enumerate(lookups[band])}
+    hashes = places.select("doc_id", "words", F.inline(F.array(F.struct(*[h.alias(name) for name, h in held.items()]))))
+    least = {f"b{k}": band for k, band in enumerate(_bands([F.col(f"h{i}") for i in range(WINDOW)]))}
+    names = [name for band in lookups for name in lookups[band]]
+    hashes = hashes.select("doc_id", "words", *names, F.inline(F.array(F.struct(*[b.alias(name) for name, b in least.items()]))))
+    views = [(k, F.col(f"b{k}")) for k in range(BANDS) if k in known]
+    views += [(band, F.col(name)) for band, names in lookups.items() if band in known for name in names]
+    hit = F.lit(False)
     for band, value in views:
-        hit = value.isin(known[band]) if hit is None else hit | value.isin(known[band])
-    shown = places.filter(hit).select("doc_id", "words", F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-    met = shown.select("doc_id", "words", "hit.band", "hit.key").join(keys, ["band", "key"]).select("doc_id", "words", "license").distinct()
+        hit = hit | value.isin(known[band])
+    shown = F.array(F.struct(F.lit(-9).alias("band"), F.lit(0).cast("long").alias("key")), *[F.struct(F.lit(band).alias("band"), value.alias("key")) for band, value in views])
+    met = hashes.filter(hit).select("doc_id", "words", F.inline(shown)).join(keys, ["band", "key"]).select("doc_id", "words", "license").distinct()
     library = library.select("license", "size", "shingles")
     judged = met.join(library, "license").withColumn(
         "n_found", F.size(F.array_intersect("shingles", shingles(F.col("words"), F.col("size"))))
