@@ -7,12 +7,13 @@
    sorted centroid lists, until the cells met hold a given number of entries.  That number is fitted: for
    at most ``TRIALS`` queries the true neighbours are found over all entries, and it is the least with
    which the walks meet the ``TARGET`` share of them.  Data without clusters need long walks, others short.
-3. Entries of the cells met are reranked by their exact distance in double precision; each block gives its
-   best, and the best of those are the answer.
+3. Entries of the cells met are reranked by their exact distance in double precision.  Cells next to each
+   other make up blocks of about ``BLOCK`` entries; a block gives a query its best, and the best of those
+   are the answer.
 
 Equal vectors stand in the index once, with their ``KEPT`` least ids: a larger id can be in no answer, as
 ties go to smaller ids.  So a vector that a third of all rows share is one entry, and equal queries are
-one search.  A cell of more than ``BLOCK`` entries is cut into blocks by hash.  Only codebooks (K rows each)
+one search.  A cell of more than ``BLOCK`` entries is cut into several blocks by hash.  Only codebooks (K rows each)
 and cell sizes (at most K times K numbers) reach the driver.
 
 Vectors that are null, empty, zero, or hold a null or a non-finite number take no part; nor do rows without
@@ -73,6 +74,20 @@ class MultiIndex:
         self.books = [kmeans(sample[:, : self.half], k), kmeans(sample[:, self.half :], k)] if self.half else [np.zeros((1, 0)), kmeans(sample, k)]
         self.sizes: dict[int, int] = {}
 
+    def block(self, size: int) -> None:
+        """Numbers the blocks: neighbouring cells share one, a cell above ``size`` has several of its own."""
+        cells = len(self.books[0]) * len(self.books[1])
+        self.first, self.parts = np.zeros(cells, np.int64), np.ones(cells, np.int64)
+        at = held = 0
+        for cell in sorted(self.sizes):
+            n = self.sizes[cell]
+            if held and held + n > size:
+                at, held = at + 1, 0
+            self.first[cell], self.parts[cell] = at, -(-n // size)
+            held += n
+            if n > size:
+                at, held = at + self.parts[cell], 0
+
     def distances(self, x: np.ndarray) -> list[np.ndarray]:
         return [squared(x[:, : self.half], self.books[0]), squared(x[:, self.half :], self.books[1])]
 
@@ -177,37 +192,57 @@ def nearest(vectors: DataFrame, every: int = 100, neighbours: int = NEIGHBOURS)
     searches = asked.groupBy("entry").agg(F.any_value("embedding").alias("embedding"))
     wanted = budget(index, placed, searches, neighbours)
 
+    index.block(BLOCK)
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cell", "entry", "embedding"]
         for batch in batches:
-            at, cells = [], []
+            at, blocks, cells = [], [], []
             if batch.num_rows:
                 a, b = index.distances(np.array(batch.column(1).to_pylist(), float))
                 for i in range(batch.num_rows):
-                    met = index.walk(a[i], b[i], wanted)
+                    met: dict[int, list[int]] = {}
+                    for cell in index.walk(a[i], b[i], wanted):
+                        for part in range(index.parts[cell]):
+                            met.setdefault(int(index.first[cell]) + part, []).append(cell)
                     at += [i] * len(met)
-                    cells += met
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), *(batch.column(i).take(pa.array(at, pa.int64())) for i in (0, 1))], names=names)
+                    blocks += met
+                    cells += met.values()
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks, pa.int64()), pa.array(cells, pa.list_(pa.int64())), batch.column(0).take(rows), batch.column(1).take(rows)],
+                names=["block", "cells", "entry", "embedding"],
+            )
 
-    probes = searches.mapInArrow(probe, "cell long, entry long, embedding array<double>")
-    blocks = counts.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    split = placed.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).drop("blocks")
-    spread = probes.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, entries = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            spread = (entries * 0x9E3779B1 >> 7) % index.parts[cells]  # any even deal will do
+            yield pa.RecordBatch.from_arrays([pa.array(index.first[cells] + spread, pa.int64()), *batch.columns], names=["block", *batch.schema.names])
+
+    probes = searches.mapInArrow(probe, "block long, cells array<long>, entry long, embedding array<double>")
+    dealt = placed.mapInArrow(deal, "block long, cell long, entry long, ids array<long>, embedding array<double>")
 
     def best(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(held):
             return pd.DataFrame({"entry": [], "vec_id": [], "score": []})
-        ids = held["ids"].to_numpy()
-        owner = np.repeat(np.arange(len(held)), [len(i) for i in ids])
-        flat = np.concatenate(ids)
-        far = distances(np.stack(queries["embedding"].to_numpy()), np.stack(held["embedding"].to_numpy()))
+        held = held.sort_values("cell", kind="stable")
+        cell, ids, x = held["cell"].to_numpy(), held["ids"].to_numpy(), np.stack(held["embedding"].to_numpy())
+        copies = np.array([len(i) for i in ids])
         out = []
-        for entry, row in zip(queries["entry"], far):
-            top = np.lexsort((flat, row[owner]))[:kept]
-            out.append((np.full(len(top), entry), flat[top], row[owner[top]]))
+        for entry, met, q in zip(queries["entry"], queries["cells"], queries["embedding"]):
+            met = np.sort(met)
+            rows = np.concatenate([np.arange(a, b) for a, b in zip(np.searchsorted(cell, met, "left"), np.searchsorted(cell, met, "right"))])
+            if not len(rows):
+                continue
+            far = np.repeat(distances(q[None], x[rows])[0], copies[rows])
+            flat = np.concatenate(ids[rows])
+            top = np.lexsort((flat, far))[:kept]
+            out.append((np.full(len(top), entry), flat[top], far[top]))
+        if not out:
+            return pd.DataFrame({"entry": [], "vec_id": [], "score": []})
         return pd.DataFrame({name: np.concatenate(column) for name, column in zip(("entry", "vec_id", "score"), zip(*out))})
 
-    found = spread.groupBy("cell", "block").cogroup(split.groupBy("cell", "block")).applyInPandas(best, "entry long, vec_id long, score double")
+    found = probes.groupBy("block").cogroup(dealt.groupBy("block")).applyInPandas(best, "entry long, vec_id long, score double")
     near = Window.partitionBy("entry").orderBy("score", "vec_id")
     found = found.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= kept).drop("n")
     answers = asked.select(F.col("vec_id").alias("query_id"), "entry").join(found, "entry").filter("vec_id <> query_id")
