@@ -37,6 +37,7 @@ WINDOW = 2048
 POOL = 256
 END = 1
 HELD = 800_000
+TOGETHER = 128
 #: The vocabulary's own pattern (fixed value) for lower-cased texts below U+0240, its classes spelled out.
 LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{WS}{LETTER}{NUMBER}]+")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -79,19 +80,20 @@ class Words:
                 self.known[word] = raw[4 * a : 4 * b]
 
     def ids(self, body: bytes) -> bytes:
-        text = body.decode()
-        if not is_latin(body) or any(a in text for a in self.added):
-            return self.other(body)
-        words = LATIN.findall(text.lower())
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
+        return self.ids_of([body])[0]
+
+    def ids_of(self, bodies: list[bytes]) -> list[bytes]:
+        """Ids of several texts, their new words learnt together."""
+        cut: list[list[str] | None] = []
+        for body in bodies:
+            text = body.decode()
+            cut.append(LATIN.findall(text.lower()) if is_latin(body) and not any(a in text for a in self.added) else None)
         if len(self.known) >= self.held:
             self.known.clear()
-        new = [w for w in set(words) if w not in self.known]
-        self.learn(new)
-        out = b"".join(map(self.known.__getitem__, words))
+        new = set().union(*(words for words in cut if words)).difference(self.known)
+        self.learn(list(new))
+        known = self.known.__getitem__
+        out = [self.other(body) if words is None else b"".join(map(known, words)) for body, words in zip(bodies, cut)]
         for word in new:
             if len(word) > 64:
                 del self.known[word]
@@ -241,8 +243,10 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, pool: int = POOL) ->
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
         for batch in batches:
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                packer.add(doc_id, words.ids(body) + end)
+            doc_ids, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at in range(0, len(bodies), TOGETHER):
+                for doc_id, ids in zip(doc_ids[at : at + TOGETHER], words.ids_of(bodies[at : at + TOGETHER])):
+                    packer.add(doc_id, ids + end)
                 if len(packer.rows) >= 10_000:
                     yield out()
         packer.finish()
