@@ -242,15 +242,16 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = fps.select("fp", F.lit(0).cast("long").alias("mask"))
     found = None
     while True:
-        rows = _cut(rows, masks)
-        masks = sorted({m | q for m in masks for q in quarters(m)})
+        rows = _cut(rows, sorted(masks))
+        masks = {m | q for m in masks for q in quarters(m)}
         key = ["mask", "value"]
         keyed = rows.withColumn("value", F.expr("fp & mask"))
         closed = max(64 - bin(m).count("1") for m in masks) <= block.bit_length() - 1  # 2^r members at most
         small = keyed
         if not closed:
             hot = keep(keyed.groupBy(key).count().filter(F.col("count") > block).select(key), "simhash-hot")
-            closed = hot.isEmpty()
+            masks = [r["mask"] % (1 << 64) for r in hot.select("mask").distinct().collect()]  # at most as many as the level has
+            closed = not masks
             if not closed:
                 small = keyed.join(hot, key, "left_anti")
                 rows = keep(keyed.join(hot, key, "left_semi").select("fp", "mask"), "simhash-cut")

@@ -64,7 +64,7 @@ def test_hot_blocks_are_cut_until_small(spark):
     centres = rng.integers(0, 1 << 63, 12)
     fps = sorted({near(rng, c, 6) for c in centres for _ in range(20)} | {near(rng, centres[0], 4) for _ in range(300)})
     table = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "doc_id long, fp long")
-    found = {r.doc_id: r.component_id for r in simhash.components(table, block=4).collect()}
+    found = {r.doc_id: r.component_id for r in simhash.components(table, block=100).collect()}
     assert found == dict(enumerate(plain_classes(fps)))
 
 
