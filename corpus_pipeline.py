@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from sherdline.llm import line_dedup, packing, quality, secrets, simhash
-from sherdline.llm.common import shared_folder, table
+from sherdline.llm.common import table
 from sherdline.llm.queries import vocabulary
+from sherdline.session import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
