@@ -15,11 +15,12 @@ from sherdline.plans import load_all
 from sherdline.plans.registry import REGISTRY, runner
 from sherdline.session import local_session
 
-INTERACTIVE = ["scan_fragments", "page_fragments", "filter_flags", "filter_fragments", "count_fragments", "keyword_search"]
+INTERACTIVE = ["scan_fragments", "page_fragments", "filter_flags", "filter_fragments", "count_fragments", "keyword_search", "get_by_id", "suggest_fragments"]
 JOBS = [
     "sort_by_relevance", "update_metadata", "bulk_delete_matches", "best_matches", "integrity_findings", "slo_report", "line_count_accuracy",
     "tune_thresholds", "best_checkpoint", "stratified_split", "balanced_order", "rank_matches", "rerank", "lines_from_detections",
-    "merge_updates", "quadrant_edges", "candidate_edges", "find_matches_indexed", "embedding_candidates",
+    "merge_updates", "quadrant_edges", "candidate_edges", "find_matches_indexed", "embedding_candidates", "placement", "overlap_check",
+    "hull_segments", "oriented_runs", "ticks_adaptive",
 ]
 
 
