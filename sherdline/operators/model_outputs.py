@@ -29,6 +29,10 @@ class Predictor:
         """The prediction for one input row as text (JSON where it has parts)."""
         raise NotImplementedError
 
+    def predict_batch(self, batch: pd.DataFrame) -> pd.Series:
+        """The predictions for a batch; models that score many rows at once override this."""
+        return pd.Series([self.predict(row) for row in batch.to_dict("records")], index=batch.index, dtype=object)
+
     def cleanup(self) -> None:
         """Free the model."""
 
@@ -49,22 +53,34 @@ def predictor(name: str) -> type[Predictor]:
 
 
 def score_batches(df: DataFrame, key: str, make: Callable[[], Predictor], continue_on_error: bool = True) -> DataFrame:
-    """Runs one predictor per task over Arrow batches; an error becomes a column, or fails the job."""
+    """Runs one predictor per task over Arrow batches; an error becomes a column, or fails the job.
+
+    Rows are scored one at a time only in a batch that raises, to find the ones at fault.
+    """
+
+    def one_by_one(model: Predictor, batch: pd.DataFrame) -> tuple[list, list]:
+        done, errors = [], []
+        for row in batch.to_dict("records"):
+            try:
+                done.append(model.predict(row))
+                errors.append(None)
+            except Exception as error:
+                done.append(None)
+                errors.append(str(error))
+        return done, errors
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         model.setup()
         try:
             for batch in batches:
-                done = []
-                for row in batch.to_dict("records"):
-                    try:
-                        done.append((row[key], model.predict(row), None))
-                    except Exception as error:
-                        if not continue_on_error:
-                            raise
-                        done.append((row[key], None, str(error)))
-                yield pd.DataFrame(done, columns=[key, "prediction", "error"])
+                try:
+                    done, errors = list(model.predict_batch(batch)), [None] * len(batch)
+                except Exception:
+                    if not continue_on_error:
+                        raise
+                    done, errors = one_by_one(model, batch)
+                yield pd.DataFrame({key: batch[key].to_numpy(), "prediction": pd.Series(done, dtype=object), "error": pd.Series(errors, dtype=object)})
         finally:
             model.cleanup()
 

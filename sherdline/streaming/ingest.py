@@ -43,4 +43,5 @@ def ingest_stream(
 
 
 def pending(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.schema(TABLE_SCHEMA).parquet(table)
+    """The rows that no scorer has seen yet."""
+    return spark.read.schema(TABLE_SCHEMA).parquet(table).filter(F.col("processing_status") == "pending")
