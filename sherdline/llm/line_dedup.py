@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import same
+from .common import keep, same
 
 UNIT_WORDS = 4
 LONG = 16
@@ -94,6 +94,7 @@ def repeated_units(docs: DataFrame, least: int = UNIT_WORDS) -> DataFrame:
     negative (-1 - place) where the document is the first to hold the unit."""
     rows = unit_rows(docs, least)
     firsts = rows.groupBy("high", "low").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    firsts = keep(firsts, "repeated-units")  # as plain rows, so that Spark can split a hot digest in the join
     met = rows.join(firsts, ["high", "low"])
     place = F.when(F.col("doc_id") == F.col("first_doc"), -1 - F.col("unit")).otherwise(F.col("unit"))
     return met.select("doc_id", "body", place.alias("place")).groupBy("doc_id", "body").agg(F.collect_set("place").alias("repeats"))
