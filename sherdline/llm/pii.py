@@ -2,17 +2,19 @@
 
 1. Patterns find e-mail addresses, IP addresses, card numbers and phone numbers: the base spans, which
    always stay, and the protected entities (kind and value).
-2. The words within ``REACH`` words of an entity are its context.  An entity and a term are seen together
-   once for every different context, so copies of a document are no evidence.  Pairs seen ``SUPPORT``
-   times or more are candidates.
-3. How often a candidate term occurs is counted over all documents.  From the counts come the share of a
-   term's documents that name the entity, P(entity | term), and the pointwise mutual information in bits.
-   A term of ``BITS`` or more and a share of ``GENERALISE`` or more is generalised, of ``REMOVE`` or more
-   removed, wherever it occurs in the corpus.
-
-Three passes over the texts; between them only counts and spans are shuffled.  Tasks leave out words that
-cannot be candidates by a bit map of fixed size (2^24 bits), the only thing that is gathered and
-broadcast; exact joins follow it, so a crowded map costs time, never a result.
+2. The words within ``REACH`` words of an entity, across line ends, are its context; words that touch a
+   base span are none.  Pairs of an entity and a term that stand together in ``SUPPORT`` different contexts
+   or more are candidates, so copies of a document are no evidence.
+3. In how many texts a pair, its entity and its term occur is counted over the different texts of the
+   corpus, each once whatever its copies.  From the counts come the share of a term's texts in which it
+   stands near the entity, P(entity | term), and the pointwise mutual information in bits.  A term of
+   ``BITS`` or more and a share of ``GENERALISE`` or more is generalised, of ``REMOVE`` or more removed,
+   wherever it occurs in the corpus.
+
+Three passes over the texts; between them only counts, spans and repeated texts are shuffled.
+Tasks leave out words that cannot be candidates by a bit map of fixed size (2^24 bits), and know texts that
+may have copies by another; only these are gathered and broadcast.  Exact joins and counts follow them, so a
+crowded map costs time, never a result.
 
 A null text is an empty one.  Spans are found by text, so rows that repeat an id and a text get the same
 ones, and rows with a null id their own.  An empty table gives no rows.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,7 +39,7 @@ from .common import keep, map_batches, same
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "generalise", "remove")
 REACH = 8
-SUPPORT = 3
+SUPPORT = 2
 BITS = 3.0
 GENERALISE, REMOVE = 0.5, 0.9
 MAP_BITS = 1 << 24
@@ -101,16 +104,30 @@ def entity_of(kind: str, value: str) -> str:
 
 
 def contexts(text: str, spans: list[list[tuple[int, int]]], reach: int = REACH) -> list[tuple[str, str, int]]:
-    """(entity, term, context) for the words around each span in its line; context is a hash of them."""
+    """(entity, term, context) for the words around each span; context is a hash of them.  Each span gives
+    one more with an empty term, so that an entity without words around it is counted too."""
+    taken: list[list[int]] = []  # base spans of all kinds, joined where they overlap
+    for start, end in sorted(s for found in spans for s in found):
+        if taken and start < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], end)
+        else:
+            taken.append([start, end])
+    if not taken:
+        return []
+    starts, words, at = [], [], 0
+    for m in WORD.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at == len(taken) or m.end() <= taken[at][0]:
+            starts.append(m.start())
+            words.append(m[0])
     out = []
     for kind, found in zip(BASE, spans):
         for start, end in found:
-            left = text[max(text.rfind("\n", 0, start) + 1, start - 40 * reach) : start]
-            stop = text.find("\n", end)
-            right = text[end : min(stop if stop >= 0 else len(text), end + 40 * reach)]
-            terms = [t for w in WORD.findall(left)[-reach:] + WORD.findall(right)[:reach] if (t := term_of(w))]
+            left, right = bisect_left(starts, start), bisect_right(starts, end - 1)
+            terms = [t for w in words[max(0, left - reach) : left] + words[right : right + reach] if (t := term_of(w))]
             mark = xxhash.xxh64_intdigest(" ".join(terms).encode()) - (1 << 63)
-            out += [(entity_of(kind, text[start:end]), t, mark) for t in set(terms)]
+            out += [(entity_of(kind, text[start:end]), t, mark) for t in {"", *terms}]
     return out
 
 
@@ -166,33 +183,50 @@ def _term_map(empty, bits) -> TermMap:
     return found
 
 
-def document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n_docs: in how many documents each of the terms occurs; summed up in the tasks first."""
-    wanted = TermMap(terms)
+def _counted(texts: DataFrame, wanted: TermMap, copied: TermMap | None) -> DataFrame:
+    """term, n: counts of rows body, text, summed up in the tasks; instead body, text for those that may have copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
-            for text in batch.column(0).to_pylist() if not wanted.empty else ():
-                counts.update({t for w in set(WORD.findall(text)) if (t := term_of(w)) and wanted.holds(t)})
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
-
-    counted = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "term string, n long")
+            later = {}
+            for body, text in zip(*(c.to_pylist() for c in batch.columns)) if not wanted.empty else ():
+                if copied is not None and copied.holds(str(body)):
+                    later[body] = text
+                else:
+                    counts.update({t for w in set(WORD.findall(text)) if (t := term_of(w)) and wanted.holds(t)})
+            n, m = [None] * len(counts), [None] * len(later)
+            columns = [[*counts, *m], [*counts.values(), *m], [*n, *later], [*n, *later.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    arrow = pa.schema([("term", pa.string()), ("n", pa.int64()), ("body", pa.int64()), ("text", pa.string())])
+    return texts.select("body", "text").mapInArrow(run, "term string, n long, body long, text string")
+
+
+def document_counts(docs: DataFrame, terms: DataFrame, repeated: DataFrame) -> DataFrame:
+    """term, n_docs: in how many different texts each of the terms occurs.  Texts that may have copies (``repeated``:
+    column ``term``, the hash of the text) are brought together and counted once."""
+    wanted = TermMap(terms)
+    first = keep(_counted(_texts(docs), wanted, TermMap(repeated)), "pii-counts")
+    once = first.filter("body IS NOT NULL").groupBy("body").agg(F.first("text").alias("text"))
+    counted = first.select("term", "n").union(_counted(once, wanted, None).select("term", "n")).filter("term IS NOT NULL")
     return counted.groupBy("term").agg(F.sum("n").alias("n_docs"))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> DataFrame:
     """term, action (4 generalise, 5 remove), share, bits: every term that exceeds a disclosure threshold, with
     the figures of the entity it reveals most."""
-    near = found.select(F.explode("near").alias("x")).select("x.*").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
-    pairs = keep(pairs, "pii-pairs")
-    entities = near.select("entity", "mark").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    counts = document_counts(docs, pairs.select("term").distinct())
-    total = found.count()
+    near = found.select("body", F.explode("near").alias("x")).select("body", "x.*").distinct()
+    pairs = near.filter("term <> ''").groupBy("entity", "term").agg(F.count_distinct("body").alias("n_both"), F.count_distinct("mark").alias("n_contexts"))
+    pairs = keep(pairs.filter(F.col("n_contexts") >= support), "pii-pairs")
+    entities = near.filter("term = ''").select("entity", "body").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    bodies = found.groupBy("body").agg(F.count(F.lit(1)).alias("n"))
+    repeated = bodies.filter("n > 1").select(F.col("body").cast("string").alias("term"))
+    counts = document_counts(docs, pairs.select("term").distinct(), repeated)
+    total = bodies.count()
     judged = pairs.join(entities, "entity").join(counts, "term").select(
         "term",
-        F.least(F.lit(1.0), F.col("n_both") / F.col("n_docs")).alias("share"),
+        (F.col("n_both") / F.col("n_docs")).alias("share"),
         F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity").cast("double") * F.col("n_docs"))).alias("bits"),
     ).filter((F.col("bits") >= BITS) & (F.col("share") >= GENERALISE))
     worst = judged.groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits"))

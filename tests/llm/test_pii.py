@@ -96,3 +96,22 @@ def test_the_bit_map_only_lets_more_pass(spark, monkeypatch):
     before = rows_of(pii.scan(docs), "doc_id", "spans")
     monkeypatch.setattr(pii, "MAP_BITS", 64)
     assert rows_of(pii.scan(docs), "doc_id", "spans") == before
+
+
+def test_copies_do_not_hide_a_term(spark):
+    """Texts that are copied a hundred times disclose what they disclose without copies."""
+    rows = corpus()
+    copied = rows + [(1000 * k + i, text) for k in range(1, 100) for i, text in rows[:5]]
+    figures = []
+    for docs in (make_docs(spark, rows), make_docs(spark, copied).repartition(7)):
+        figures.append(rows_of(pii.disclosing_terms(docs, pii.findings(docs)), "term", "action", "share", "bits"))
+    assert figures[0] == figures[1] and ("zorblax", 4) in [f[:2] for f in figures[0]]
+
+
+def test_two_contexts_and_words_of_other_lines(spark):
+    rng = random.Random(6)
+    rows = [(1, "the address\nQuuxley\n\nq@mail.example.com\nnever"), (2, "again Quuxley\n" + "z" * 400 + " q@mail.example.com indeed")]
+    rows += [(10 + i, " ".join(rng.choices(["the", "never", "again", "indeed", "address"], k=20))) for i in range(60)]
+    docs = make_docs(spark, rows)
+    assert rows_of(pii.disclosing_terms(docs, pii.findings(docs)), "term", "action") == [("quuxley", 5)]
+    assert pii.contexts("x" * 500 + "abc@d.ef,abc@d.ef word", pii.find("x" * 500 + "abc@d.ef,abc@d.ef word"))[-1][0].startswith("email:")
