@@ -1,5 +1,8 @@
+import base64
 import os
+import random
 import re
+import string
 
 import zstandard
 from helpers import make_docs, rows_of
@@ -78,3 +81,25 @@ def test_repeated_words():
     assert quality.repeated_words(b"x a b c y a b c z".split()) == 6
     assert quality.repeated_words(b"a a a a".split()) == 4
     assert quality.repeated_words(b"a b".split()) == quality.repeated_words([]) == 0
+
+
+def test_bands_reject_encoded_text():
+    rules = quality.Compression()
+    rng = random.Random(8)
+    parts = lambda s, n: [s[i : i + n] for i in range(0, len(s), n)]
+    for size in (390, 500, 560, 600, 780, 1000, 1500, 3100, 6300, 12_700, 25_000, 100_000):
+        coded = base64.b64encode(rng.randbytes(size)).decode()
+        made = [" ".join(parts(coded, 7)), "\n".join(parts(coded, 76)), " ".join(parts("".join(rng.choices(string.ascii_letters + string.digits, k=size)), 6))]
+        made += [" ".join(parts(rng.randbytes(size).hex(), 8))] if size > 3200 else []
+        for text in made:
+            assert not rules.verdict(text[:size].encode())[0], (size, text[:40])
+
+
+def test_tails_and_texts_of_two_chunks_are_judged():
+    rules = quality.Compression()
+    noise = base64.b64encode(random.Random(9).randbytes(9000))
+    anything = ((float("inf"), 1.9, 1e9),)
+    prose = b"the words of this line come again and again " * 400
+    assert rules.verdict(prose[:4096] + noise[:3000], anything)[2] > 0.4
+    assert rules.verdict(prose[:8192] + noise[:4095], anything)[2] > 0.3
+    assert rules.verdict(prose[:4096] + noise[:3000], anything, chunk=1000, share=0.4)[0] is False
