@@ -48,9 +48,10 @@ class Words:
 
     The vocabulary drops white space and treats the words between alone, so the ids of words met before
     are kept, up to ``held`` of them, and only new words go to the library, many in one call.  Texts
-    below U+0240 are cut by the vocabulary's own pattern after lower-casing; each such word ends in a
-    token that carries the end mark, which tells the words of a call apart.  Other texts, and those with
-    an added string, are cut at ASCII white space and the library does the rest.
+    that lie below U+0240 once lower-cased are cut by the vocabulary's own pattern; each such word ends
+    in a token that carries the end mark, which tells the words of a call apart (where it does not, each
+    word is a call's text of its own).  Other texts, and those with an added string, are cut at ASCII
+    white space and the library does the rest.
     """
 
     def __init__(self, path: str, held: int = HELD):
@@ -73,8 +74,10 @@ class Words:
             (got,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
             ids = np.array(got.ids, "<u4")
             cuts = [0, *(np.nonzero(self.ends[ids])[0] + 1).tolist()]
-            if len(cuts) != len(some) + 1:
-                raise ValueError("the vocabulary's end marks do not tell words apart")
+            if len(cuts) != len(some) + 1 or cuts[-1] != len(ids):
+                for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                    self.known[word] = np.array(got.ids, "<u4").tobytes()
+                continue
             raw = ids.tobytes()
             for word, a, b in zip(some, cuts, cuts[1:]):
                 self.known[word] = raw[4 * a : 4 * b]
@@ -87,7 +90,8 @@ class Words:
         cut: list[list[str] | None] = []
         for body in bodies:
             text = body.decode()
-            cut.append(LATIN.findall(text.lower()) if is_latin(body) and not any(a in text for a in self.added) else None)
+            lower = text.lower()  # the pattern's classes must hold what lower-casing gives
+            cut.append(LATIN.findall(lower) if is_latin(lower.encode()) and not any(a in text or a in lower for a in self.added) else None)
         if len(self.known) >= self.held:
             self.known.clear()
         new = set().union(*(words for words in cut if words)).difference(self.known)

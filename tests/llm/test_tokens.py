@@ -43,6 +43,24 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(mine.ids(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_word_ids_of_every_character_below_0250():
+    library, mine = Tokenizer.from_file(WORDS), packing.Words(WORDS)
+    for c in map(chr, range(0x250)):
+        for text in (f"ab{c}cd", f"{c}x {c}-", f"A{c}", f"{c}{c.upper()}1", f"{c}-"):
+            assert np.frombuffer(mine.ids(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    rng = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(chr(rng.randrange(0x250)) if rng.random() < 0.5 else rng.choice("ab '.sS1-ƏƐ") for _ in range(rng.randint(0, 20)))
+        assert np.frombuffer(mine.ids(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_words_that_the_end_marks_do_not_tell_apart():
+    library, mine = Tokenizer.from_file(WORDS), packing.Words(WORDS)
+    mine.learn(["two-words", "one"])  # the first is two words to the library
+    assert np.frombuffer(mine.known["two-words"], "<u4").tolist() == library.encode("two-words", add_special_tokens=False).ids
+    assert np.frombuffer(mine.known["one"], "<u4").tolist() == library.encode("one", add_special_tokens=False).ids
+
+
 def test_token_digests(odd_docs, odd_rows, no_docs, documents):
     library = Tokenizer.from_file(BYTES)
     sha = lambda b: hashlib.sha256(b).hexdigest()
