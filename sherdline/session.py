@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,12 @@ def local_session(cpus: int | str = 8, name: str = "sherdline") -> SparkSession:
     )
 
 
+@lru_cache(8)
+def _local_folder(application: str) -> str:
+    """One temporary folder for each application on a single machine."""
+    return tempfile.mkdtemp(prefix="sherdline-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for data that must outlive a task: the one the cluster names in ``spark.checkpoint.dir``.
 
@@ -36,8 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="sherdline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder(spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 
