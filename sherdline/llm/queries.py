@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_text, licenses, line_dedup, packing, pii, quality, secrets, simhash
+from . import ann, bpe, html_text, licenses, line_dedup, packing, pii, prefix_trie, quality, secrets, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,11 @@ def op9_pii(spark, sf_dir):
 @register
 def op10_html(spark, sf_dir):
     return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+@register
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = prefix_trie.oracle()
