@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_text, licenses, line_dedup, packing, pii, prefix_trie, quality, secrets, simhash
+from . import ann, bpe, html_text, licenses, line_dedup, packing, part_codes, pii, prefix_trie, quality, secrets, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,11 @@ def op13_prefix_trie(spark, sf_dir):
 
 
 ORACLES["op13_prefix_trie"] = prefix_trie.oracle()
+
+
+@register
+def op12_part_codes(spark, sf_dir):
+    return part_codes.part_codes(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op12_part_codes"] = part_codes.oracle()
