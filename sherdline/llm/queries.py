@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, html_text, licenses, line_dedup, packing, part_codes, pii, prefix_trie, quality, secrets, simhash
+from . import ann, bpe, byte_fold, html_text, licenses, line_dedup, packing, part_codes, pii, prefix_trie, quality, secrets, simhash
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,10 @@ def op12_part_codes(spark, sf_dir):
 
 
 ORACLES["op12_part_codes"] = part_codes.oracle()
+
+
+@register
+def op11_byte_fold(spark, sf_dir):
+    import public_tokenizers
+
+    return byte_fold.token_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
