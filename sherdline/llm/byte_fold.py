@@ -30,6 +30,7 @@ import base64
 import heapq
 import json
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,6 +48,8 @@ LONG = 256
 #: Maps that the ranks are dealt over; two ranks in each or fewer.
 MAPS = 1 << 15
 PIECE = 0x10000
+#: Bytes whose entry also says how long the longest piece is that begins with them.
+HEAD = 4
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -74,35 +77,49 @@ def literal(value: list, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def merge_of(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
-    """Column function: rank, the two parts and the piece as characters; null for what is no piece of several bytes."""
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """By piece of several bytes: its rank, its two parts and the piece as characters; and by ``HEAD`` bytes the
+    length of the longest piece that begins with them."""
 
     def character(piece: bytes) -> str:
         return piece.decode("latin-1") if len(piece) == 1 else chr(PIECE + ranks[piece])
 
-    maps: list[dict] = [{} for _ in range(MAPS)]
+    entries: dict[bytes, dict] = defaultdict(dict)
     for piece, rank in ranks.items():
         if len(piece) > 1:
-            text = piece.decode("latin-1")
-            maps[zlib.crc32(text.encode()) % MAPS][text] = {"rank": rank, "parts": "".join(map(character, two_parts(piece, ranks))), "piece": character(piece)}
-    merges = literal(maps, "array<map<string,struct<rank:int,parts:string,piece:string>>>")
-    return lambda text: F.get(merges, (F.crc32(text.cast("binary")) % MAPS).cast("int"))[text]
+            entries[piece] |= {"rank": rank, "parts": "".join(map(character, two_parts(piece, ranks))), "piece": character(piece)}
+        if len(piece) >= HEAD:
+            entries[piece[:HEAD]]["longest"] = max(len(piece), entries[piece[:HEAD]].get("longest", 0))
+    maps: list[dict] = [{} for _ in range(MAPS)]
+    for piece, entry in entries.items():
+        text = piece.decode("latin-1")
+        maps[zlib.crc32(text.encode()) % MAPS][text] = entry
+    return literal(maps, "array<map<string,struct<rank:int,parts:string,piece:string,longest:int>>>")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made, or a literal that is held, once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
+def folded(word: Column, maps: Column, single: Column) -> Column:
+    """Ids of a word by a ``rank_map`` and the array of the ids of single bytes."""
 
-def folded(word: Column, merge: Callable[[Column], Column], single: Column) -> Column:
-    """Ids of a word; ``single`` is the literal array of the ids of single bytes."""
-    word = F.decode(word.cast("binary"), "ISO-8859-1")
+    def merge(text: Column) -> Column:
+        return F.get(maps, (F.crc32(text.cast("binary")) % MAPS).cast("int"))[text]
 
     def merges(word: Column) -> Column:
         starts = F.when(F.length(word) > 1, F.sequence(F.lit(0), F.length(word) - 2))  # null for a single byte
-        stretches = F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.transform(F.sequence(F.lit(2), F.length(word) - i), lambda n: merge(F.substring(word, i + 1, n))))
-        return F.sort_array(F.array_compact(F.flatten(stretches)))
+        longest = lambda i: F.coalesce(merge(F.substring(word, i + 1, F.lit(HEAD)))["longest"], F.lit(HEAD - 1))
+        lengths = lambda i: F.sequence(F.lit(2), F.least(F.length(word) - i, longest(i)))
+        stretches = F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.transform(lengths(i), lambda n: merge(F.substring(word, i + 1, n))))
+        return F.sort_array(F.filter(F.flatten(stretches), lambda m: m["rank"].isNotNull()))
 
     def ids(word: Column) -> Column:
         pieces = F.aggregate(merges(word), word, lambda state, m: F.replace(state, m["parts"], m["piece"]))
         return F.transform(F.split(pieces, ""), lambda c: F.when(F.ascii(c) < PIECE, F.get(single, F.ascii(c))).otherwise(F.ascii(c) - PIECE))
 
-    return F.get(F.transform(F.array(word), ids), F.lit(0))
+    return let(F.decode(word.cast("binary"), "ISO-8859-1"), ids)
 
 
 def queue_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -192,11 +209,11 @@ def dictionaries(words: DataFrame, known: pa.Table, ranks: dict[bytes, int], tog
 def encode(docs: DataFrame, path: str, pattern: str, together: int = TOGETHER) -> DataFrame:
     """doc_id, ids (array of int) of every whole text."""
     ranks = read_ranks(path)
-    merge, single = merge_of(ranks), literal([ranks[bytes([b])] for b in range(256)], "array<int>")
+    constants = F.struct(rank_map(ranks).alias("maps"), literal([ranks[bytes([b])] for b in range(256)], "array<int>").alias("single"))
     body = text_bytes().cast("string")
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(body, F.lit(jvm_pattern(docs.sparkSession, pattern)), F.lit(0)).alias("words"))
-    known = known_words(words, lambda word: folded(word, merge, single))
-    ids = F.transform("words", lambda w: F.coalesce(w["given"], folded(w["word"], merge, single)))
+    known = known_words(words, lambda word: let(constants, lambda c: folded(word, c["maps"], c["single"])))
+    ids = let(constants, lambda c: F.transform("words", lambda w: F.coalesce(w["given"], folded(w["word"], c["maps"], c["single"]))))
     made = dictionaries(words, known, ranks, together).select("docs", F.explode(F.array(ids)).alias("ids"))  # behind an explode, so that it is made once
     rows = F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["places"], lambda i: F.get("ids", i))).alias("ids")))
     return made.select(F.inline(rows))
