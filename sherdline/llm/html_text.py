@@ -3,8 +3,10 @@
 A page is cut into tags and text by one pattern, and its elements form a tree with the usual implied
 ends (a new paragraph ends an open one, a list item the one before).  Elements whose tag, role, class or
 id says menu, header, footer, sidebar, notice, advert, form, script, style or reader comments are left
-out.  Every paragraph gives points for its length and commas to its container, half of them to the
-container above, a third to the one above that, and so on; a container's points are discounted by the
+out.  A block that only a form tag or a word of its class or id speaks against stays if it holds half of the
+paragraph text, at a lower score; words of names like "has-sidebar" do not count; and where no paragraph is
+left, the page is judged again without words.  Every paragraph gives points for its length and commas to its container, half of them to the
+container above, a third to the one above that, and so on for 32 containers; a container's points are discounted by the
 share of its text that lies in links.  The best container is kept whole, with those of its siblings that
 score a fifth of it or are paragraphs of running text; a container inside an article stands for the
 whole article.
@@ -12,13 +14,16 @@ whole article.
 Text comes out block by block in page order, character references decoded, white space runs (any
 Unicode white space) as one space, blocks joined by a newline; a line break ends a block.  A null or
 empty page, and a page without text, gives an empty text.  Pages are judged one by one, so null ids,
-repeated rows and empty tables need no rule, and a page of any length is held by its task alone.
+repeated rows and empty tables need no rule.  A page of any length is held by its task alone and read
+forward once, whatever is left unclosed in it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +44,9 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th "
     "thead tr ul".split()
 )
-LEFT_OUT = set("nav footer aside form button select dialog menu label input fieldset".split())
+LEFT_OUT = set("nav footer aside button select dialog menu label input".split())
+#: Left out like elements of the words below, unless they hold the page's text.
+WEAKLY_OUT = {"form", "fieldset"}
 LEFT_OUT_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Words of a class or an id.
 LEFT_OUT_WORDS = set(
@@ -48,6 +55,10 @@ LEFT_OUT_WORDS = set(
     "footer foot masthead topbar toolbar comment comments disqus respond reply replies share sharing social related recommended "
     "newsletter subscribe subscription signup login popup popups modal overlay paywall pagination pager skip".split()
 )
+#: Those of what readers wrote, which may be longer than the article.
+READER_WORDS = set("comment comments disqus respond reply replies".split())
+#: A class name that begins so tells what is beside or inside an element, not what it is.
+BESIDE = re.compile(r"(?:^|\s)(?:has|with|without|no)[-_]\S*", re.I)
 HEADER_WORDS = {"header", "head", "top"}
 GOOD_WORDS = set("article body content entry main page post story text blog".split())
 SCORE = {"article": 25, "main": 15, "div": 5, "section": 3, "td": 3, "pre": 3, "blockquote": 3, "body": 0, "html": -5, "ul": -3, "ol": -3, "li": -3, "dl": -3, "table": -3}
@@ -56,89 +67,101 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 #: An implied end does not pass these.
 FENCE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 COMMA = re.compile("[,;、，؛،]")
+KEPT, WEAK, OUT = range(3)
+#: Ancestors that a paragraph passes points to.
+LEVELS = 32
 
 
 class Node:
-    __slots__ = ("tag", "parent", "out", "hint", "points", "chars", "linked")
+    """An open element.  ``parent`` and ``block`` are blocks: the nearest above, and the nearest or itself."""
 
-    def __init__(self, tag: str, parent: Node | None, out: bool, hint: float):
-        self.tag, self.parent, self.out, self.hint = tag, parent, out, hint
+    __slots__ = ("tag", "parent", "block", "verdict", "hint", "points", "chars", "linked", "paragraphs", "chosen")
+
+    def __init__(self, tag: str, parent: Node | None, verdict: int, hint: float):
+        self.tag, self.parent, self.verdict, self.hint = tag, parent, verdict, hint
+        self.block = self if parent is None or tag in BLOCK else parent
         self.points = 0.0
-        self.chars = self.linked = 0
+        self.chars = self.linked = self.paragraphs = 0
+        self.chosen = False
 
 
-def judge(tag: str, attrs: str, inside_article: bool) -> tuple[bool, float]:
+def judge(tag: str, attrs: str, inside_article: bool, by_words: bool) -> tuple[int, float]:
     """Whether an element is left out, and what its class and id add to its score."""
     if tag in LEFT_OUT or tag == "header" and not inside_article:
-        return True, 0.0
+        return OUT, 0.0
+    verdict, hint = WEAK if tag in WEAKLY_OUT and by_words else KEPT, 0.0
     if not attrs or attrs.isspace():
-        return False, 0.0
-    hint, out = 0.0, False
+        return verdict, hint
+    whole = tag in ("html", "body", "article", "main")
     for name, a, b, c in ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
-        if name == "role":
-            out |= value.lower() in LEFT_OUT_ROLES
-        elif name == "hidden" or name == "aria-hidden" and value == "true":
-            out = True
-        elif name == "style":
-            out |= "display:none" in value.replace(" ", "").lower()
+        if (
+            name == "role" and value.lower() in LEFT_OUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true"
+            or name == "style" and "display:none" in value.replace(" ", "").lower()
+        ):
+            verdict = verdict if whole else OUT
         elif name in ("class", "id"):
-            words = {w.lower() for w in PART.findall(value)}
-            out |= bool(words & LEFT_OUT_WORDS) or bool(words & HEADER_WORDS) and not inside_article
-            hint += 25 * bool(words & GOOD_WORDS)
-    return out and tag not in ("html", "body", "article", "main") or out and tag == "article" and not hint, hint
-
-
-def implied_end(open_: list[Node], tags: set[str], fence: set[str]) -> int:
-    """The place from which open elements end because one of ``tags`` ends; none lie below a fence."""
-    found = len(open_)
-    for i in range(len(open_) - 1, 0, -1):
-        if open_[i].tag in tags:
-            found = i
-        elif open_[i].tag in fence:
-            break
-    return found
+            words = {w.lower() for w in PART.findall(BESIDE.sub(" ", value))}
+            good = bool(words & GOOD_WORDS)
+            hint += 25 * good
+            if by_words and words & READER_WORDS and not whole:
+                verdict = OUT
+            elif by_words and (words & LEFT_OUT_WORDS or words & HEADER_WORDS and not inside_article):
+                verdict = max(verdict, WEAK if tag in BLOCK else OUT) if not whole or tag == "article" and not good else verdict
+    return verdict, hint
+
 
+def blocks_of(page: str, by_words: bool = True) -> tuple[list[tuple[Node, str]], list[Node]]:
+    """(container, text) of every block that is not left out, in page order, and all containers.
 
-def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """(container, text) of every block that is not left out, in page order, and all containers."""
-    root = Node("html", None, False, 0.0)
+    The page is read forward once; what is open is found by tag, and sums go up at the end.
+    """
+    root = Node("html", None, KEPT, 0.0)
     nodes, open_, found = [root], [root], []
+    where: dict[str, list[int]] = defaultdict(list)  # places of open elements by tag
+    fences = [0]  # places of open blocks other than p
     text: list[str] = []
-    size = linked = links = 0
-    at, end = 0, len(page)
+    size = linked = articles = 0
+    at, end, last = 0, len(page), page.rfind(">")
+    unclosed = set()
 
     def close() -> None:
         nonlocal size, linked
         if text and (joined := " ".join("".join(text).split())):
-            holder = next(n for n in reversed(open_) if n.tag in BLOCK)
+            holder = open_[-1].block
             found.append((holder, joined))
-            share = linked / size if size else 0.0
-            node = holder
-            while node is not None:
-                node.chars += len(joined)
-                node.linked += round(share * len(joined))
-                node = node.parent
+            holder.chars += len(joined)
+            holder.linked += round((linked / size if size else 0.0) * len(joined))
+            holder.paragraphs += len(joined) * (holder.tag in PARAGRAPH)
         text.clear()
         size = linked = 0
 
     def say(part: str) -> None:
         nonlocal size, linked
-        if part and not open_[-1].out:
+        if part and open_[-1].verdict != OUT:
             part = html.unescape(part)
             text.append(part)
             size += len(part)
-            linked += len(part) * (links > 0)
+            linked += len(part) * bool(where["a"])
 
     def leave(i: int) -> None:
-        nonlocal links
-        links -= sum(n.tag == "a" for n in open_[i:])
+        nonlocal articles
+        for node in open_[i:]:
+            where[node.tag].pop()
+            articles -= node.tag in ("article", "main")
         del open_[i:]
+        while fences[-1] >= len(open_):
+            fences.pop()
 
-    while at < end:
+    def implied_end(tags: set[str], fence: int) -> None:
+        """Open elements end from the first of ``tags`` above the fence on."""
+        ends = [where[t][k] for t in tags if (k := bisect_right(where[t], fence)) < len(where[t])]
+        if ends:
+            leave(min(ends))
+
+    while at <= last:  # no tag ends after that
         m = TOKEN.search(page, at)
         if m is None:
-            say(page[at:])
             break
         say(page[at : m.start()])
         at = m.end()
@@ -146,46 +169,65 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             continue
         tag, closing = m["tag"].lower(), bool(m["end"])
         if tag in RAW and not closing:
+            if m["attrs"].endswith("/") or tag in unclosed:
+                continue
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             if stop is not None:
                 at = stop.end()
             elif tag != "head":
                 at = end
+            else:
+                unclosed.add(tag)
             continue
         if tag in BLOCK:
             close()
         if tag in ("br", "hr") or tag in VOID or tag in RAW:
             continue
         if closing:
-            block = tag in BLOCK
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    leave(i)
-                    break
-                if not block and open_[i].tag in BLOCK:
-                    break
+            if where[tag] and (tag in BLOCK or where[tag][-1] > max(fences[-1], where["p"][-1] if where["p"] else 0)):
+                leave(where[tag][-1])
             continue
         if tag in BLOCK:
-            leave(implied_end(open_, {"p"}, BLOCK))
-            leave(implied_end(open_, ENDS.get(tag, set()), FENCE.get(tag, set())))
+            implied_end({"p"}, fences[-1])
+            if tag in ENDS:
+                implied_end(ENDS[tag], max((where[t][-1] for t in FENCE[tag] if where[t]), default=0))
         if tag in ("html", "body"):
             continue
         above = open_[-1]
-        inside = any(n.tag in ("article", "main") for n in open_)
-        out, hint = (True, 0.0) if above.out else judge(tag, m["attrs"], inside)
-        if out and not above.out:
+        verdict, hint = (OUT, 0.0) if above.verdict == OUT else judge(tag, m["attrs"], articles > 0, by_words)
+        if verdict == OUT and above.verdict != OUT:
             close()
-        node = Node(tag, above, out, hint)
-        open_.append(node)
         if m["attrs"].endswith("/") and tag not in BLOCK and tag != "a":
-            open_.pop()
             continue
+        node = Node(tag, above.block, verdict, hint)
+        where[tag].append(len(open_))
         if tag in BLOCK:
             nodes.append(node)
-        if tag == "a":
-            links += 1
+            if tag != "p":
+                fences.append(len(open_))
+        articles += tag in ("article", "main")
+        open_.append(node)
+    if at < end:
+        say(page[at:])
     close()
-    return found, nodes
+    return settle(found, nodes)
+
+
+def settle(found: list[tuple[Node, str]], nodes: list[Node]) -> tuple[list[tuple[Node, str]], list[Node]]:
+    """Weakly left out elements stay, at a lower score, if they hold half of the paragraph text; sums of the rest."""
+    for node in reversed(nodes[1:]):
+        node.parent.paragraphs += node.paragraphs
+    whole = nodes[0].paragraphs
+    for node in nodes[1:]:
+        if node.parent.verdict == OUT or node.verdict == WEAK and node.paragraphs * 2 < max(whole, 1):
+            node.verdict = OUT
+        elif node.verdict == WEAK:
+            node.hint -= 25
+    for node in reversed(nodes[1:]):
+        if node.verdict != OUT:
+            node.parent.chars += node.chars
+            node.parent.linked += node.linked
+    return [(holder, text) for holder, text in found if holder.verdict != OUT], nodes
 
 
 def container(node: Node) -> Node:
@@ -197,6 +239,8 @@ def container(node: Node) -> Node:
 
 def main_text(page: str | None) -> str:
     found, nodes = blocks_of(page or "")
+    if not any(holder.tag in PARAGRAPH for holder, _ in found):
+        found, nodes = blocks_of(page or "", by_words=False)
     if not found:
         return ""
     seen: dict[int, Node] = {}
@@ -206,7 +250,7 @@ def main_text(page: str | None) -> str:
         else:
             points = (len(text) >= 25) + len(COMMA.findall(text)) + min(len(text) / 100, 3)
         node, share = container(holder if holder.tag not in ("p", "pre", "blockquote") or holder.parent is None else holder.parent), 1
-        while node is not None:
+        while node is not None and share <= LEVELS:
             if node.tag in SCORE:
                 if id(node) not in seen:
                     seen[id(node)] = node
@@ -223,23 +267,17 @@ def main_text(page: str | None) -> str:
         if node.tag in ("article", "main") or node.hint > 0 and node.points >= 0.75 * best.points:
             top = node
         node = node.parent
-    chosen = {id(top)}
+    top.chosen = True
     if top.tag not in ("article", "main") and top.parent is not None:
         for other in nodes:
-            if other.parent is top.parent and other is not top and not other.out and other.chars:
+            if other.parent is top.parent and other is not top and other.verdict != OUT and other.chars:
                 density = other.linked / other.chars
                 scored = id(other) in seen and other.points >= max(10, best.points * 0.2)
                 if scored or other.tag == "p" and density < 0.25 and other.chars > 80 or other.tag in ("h1", "p") and density == 0 and other.chars <= 300:
-                    chosen.add(id(other))
-
-    def within(node: Node | None) -> bool:
-        while node is not None:
-            if id(node) in chosen:
-                return True
-            node = node.parent
-        return False
-
-    return "\n".join(text for holder, text in found if within(holder))
+                    other.chosen = True
+    for node in nodes[1:]:  # a block comes after those it stands in
+        node.chosen |= node.parent.chosen
+    return "\n".join(text for holder, text in found if holder.chosen)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from helpers import SMALL, rows_of
@@ -24,6 +25,35 @@ CASES = [
 ]
 
 
+TEXT = "One paragraph of the article, with commas, and of some length, as they are. " * 4
+WRAPPED = [
+    '<div class="content has-sidebar">%s</div>', '<div id="post" class="with-share">%s</div>', '<div class="main-header-layout">%s</div>',
+    '<section class="social-studies">%s</section>', "<form action=x>%s</form>", '<svg viewBox="0 0 1 1"/>%s', '<div class="no-comments">%s</div>', "<div class=related>%s</div>",
+]
+
+
+@pytest.mark.parametrize("around", WRAPPED)
+def test_words_and_forms_around_the_article(around):
+    page = SHELL % (around % f"<p>{TEXT}</p><p>{TEXT}</p>")
+    assert main_text(page) == f"{TEXT.strip()}\n{TEXT.strip()}"
+
+
+def test_long_comments_do_not_replace_the_article():
+    page = SHELL % (f"<div><p>{TEXT}</p></div>" + "<div class='comments'>" + f"<p>reader, {TEXT}</p>" * 9 + "</div>")
+    assert main_text(page) == TEXT.strip()
+    assert "reader" in main_text(f"<div class='comments'><p>reader, {TEXT}</p></div>")  # nothing else is left
+
+
+@pytest.mark.parametrize("page", [
+    "<div>some text" * 50_000, "<div " * 200_000, '<a x="' * 200_000, "<head>" * 50_000 + ">", "<div>" * 20_000 + "<option>x" * 20_000,
+    "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000, "<ul><li>" * 50_000, "<span>x" * 50_000 + "<p>a</p>" * 20_000,
+])
+def test_long_malformed_pages_are_read_once(page):
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 8
+
+
 @pytest.mark.parametrize("page, text", CASES)
 def test_pages(page, text):
     assert main_text(page) == text
