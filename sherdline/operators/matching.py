@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import polyline as pl
+from ..functions.footprints import footprint, overlap_with
 from ..functions.text import base_id
 from ..session import cut
 from . import contours as ct
@@ -378,37 +379,12 @@ def placement(a: str, b: str) -> Column:
     return _place(F.col(f"{a}.cm_x"), F.col(f"{a}.cm_y"), F.col(f"{b}.cm_x"), F.col(f"{b}.cm_y"), ~opposite)
 
 
-def polygon_cells(x: np.ndarray, y: np.ndarray, cell: float) -> set[tuple[int, int]]:
-    """Grid cells whose centre lies inside the polygon, by scan lines."""
-    found: set[tuple[int, int]] = set()
-    nx, ny = np.roll(x, -1), np.roll(y, -1)
-    for row in range(int(np.floor(y.min() / cell)), int(np.floor(y.max() / cell)) + 1):
-        level = (row + 0.5) * cell
-        hit = (y <= level) != (ny <= level)
-        cross = np.sort(x[hit] + (level - y[hit]) / (ny[hit] - y[hit]) * (nx[hit] - x[hit]))
-        for left, right in zip(cross[::2], cross[1::2]):
-            found.update((c, row) for c in range(math.ceil(left / cell - 0.5), math.floor(right / cell - 0.5) + 1))
-    return found
-
-
 def overlap_ratio(cell: float = 0.1):
     """Shared grid cells over the smaller fragment's cells, for outlines in centimetres and b's placement.
 
     Only the contract of this check is known; the formula is ours.
     """
-
-    def one(ax, ay, bx, by, dx, dy, turn) -> float | None:
-        if dx is None or dx != dx:
-            return None
-        moved = (np.asarray(bx) + 1j * np.asarray(by)) * np.exp(1j * math.radians(turn)) + dx + 1j * dy
-        a, b = polygon_cells(np.asarray(ax), np.asarray(ay), cell), polygon_cells(moved.real, moved.imag, cell)
-        return len(a & b) / max(1, min(len(a), len(b)))
-
-    @F.pandas_udf(T.DoubleType())
-    def ratio(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, dx: pd.Series, dy: pd.Series, turn: pd.Series) -> pd.Series:
-        return pd.Series([one(*r) for r in zip(ax, ay, bx, by, dx, dy, turn)], dtype=float)
-
-    return ratio
+    return lambda ax, ay, bx, by, dx, dy, turn: overlap_with(cell)(footprint(cell)(ax, ay), bx, by, dx, dy, turn)
 
 
 def line_continuity(pairs: DataFrame, lines: DataFrame, tolerance: float = 0.15) -> DataFrame:
@@ -477,9 +453,8 @@ def reconstruct(
     outlines = eligible.select("fragment_id", ct.per_cm(F.col("pixels_per_unit"), F.col("scale_unit")).alias("r"), "xs", "ys")
     in_cm = lambda c: pl.let(F.col("r"), lambda r: F.transform(c, lambda v: v / r))
     whole = pl.hold(outlines, {"ox": in_cm("xs"), "oy": in_cm("ys")}).select("fragment_id", "ox", "oy")
-    shape = lambda letter: whole.select(
-        F.col("fragment_id").alias(f"fragment_{letter}_id"), F.col("ox").alias(f"{letter}x"), F.col("oy").alias(f"{letter}y")
-    )
+    prints = whole.select(F.col("fragment_id").alias("fragment_a_id"), footprint()("ox", "oy").alias("print"))  # once for all its pairs
+    moved = whole.withColumnRenamed("fragment_id", "fragment_b_id")
     placed = (
         found.join(side("a"), "edge_a").join(side("b"), "edge_b")
         .withColumn("place", placement("a", "b"))
@@ -496,9 +471,9 @@ def reconstruct(
     else:
         placed = placed.withColumn("similarity", F.lit(None).cast("double"))
         wanted = F.lit(True)
-    checked = placed.join(shape("a"), "fragment_a_id").join(shape("b"), "fragment_b_id").withColumn(
-        "overlap", overlap_ratio()(*[F.col(c) for c in ("ax", "ay", "bx", "by", "relative_x_cm", "relative_y_cm", "rotation_deg")])
-    ).drop("ax", "ay", "bx", "by")
+    checked = placed.join(prints, "fragment_a_id").join(moved, "fragment_b_id").withColumn(
+        "overlap", overlap_with()(*[F.col(c) for c in ("print", "ox", "oy", "relative_x_cm", "relative_y_cm", "rotation_deg")])
+    ).drop("print", "ox", "oy")
     keep = wanted & F.col("relative_x_cm").isNotNull() & (F.col("overlap") <= max_overlap)
     ranked = rank_matches(checked, k, keep, tie="edge_b").withColumnRenamed("new_rank", "rank")
     if lines is not None:

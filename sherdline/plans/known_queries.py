@@ -73,6 +73,21 @@ def known_overlap(src):
     return rows.select("id", F.round("overlap", 6).alias("overlap"), (F.col("overlap") <= 0.25).alias("valid"))
 
 
+_TURNED = """SELECT id, w, h, CASE id % 4 WHEN 0 THEN dx WHEN 1 THEN dx - h WHEN 2 THEN dx - w ELSE dx END AS x, CASE id % 4 WHEN 0 THEN dy WHEN 1 THEN dy WHEN 2 THEN dy - h ELSE dy - w END AS y,
+CASE id % 2 WHEN 0 THEN w ELSE h END AS across, CASE id % 2 WHEN 0 THEN h ELSE w END AS down FROM (SELECT id, 4 + id % 5 AS w, 3 + id % 4 AS h, id % 11 - 2 AS dx, id % 7 - 1 AS dy FROM fragments_v) q"""
+
+
+@query("known_overlap_turned", "I5", f"SELECT id, round(greatest(0, least(w, x + across) - greatest(0, x)) * greatest(0, least(h, y + down) - greatest(0, y)) / CAST(w * h AS DOUBLE), 6) AS overlap FROM ({_TURNED}) t")
+def known_overlap_turned(src):
+    """Rectangles turned about a corner by quarters and moved by whole cells."""
+    corners = src("fragments_v").selectExpr(
+        "id", "array(0.0D, 4.0D + id % 5, 4.0D + id % 5, 0.0D) AS x", "array(0.0D, 0.0D, 3.0D + id % 4, 3.0D + id % 4) AS y",
+        "CAST(id % 11 - 2 AS DOUBLE) AS dx", "CAST(id % 7 - 1 AS DOUBLE) AS dy", "90.0D * (id % 4) AS turn",
+    )
+    ratio = mm.overlap_ratio(1.0)(*[F.col(c) for c in ("x", "y", "x", "y", "dx", "dy", "turn")])
+    return corners.select("id", F.round(ratio, 6).alias("overlap"))
+
+
 def _rectangles(src, angle: str):
     """Outlines of rectangles about (300, 300) whose sides and angle depend on the row."""
     corners = [(-1, -1), (1, -1), (1, 1), (-1, 1)]

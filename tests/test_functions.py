@@ -1,13 +1,16 @@
 """Scalar rules and small numeric helpers against hand-worked values."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sherdline.functions import rules, shapes, text
+from sherdline.functions import footprints, rules, shapes, text
 from sherdline.operators import catalogue as cat
 from sherdline.operators import contours as ct
 from sherdline.operators import ruler as ru
+from sherdline.operators.matching import overlap_ratio
 
 
 def values(spark, rows, schema, column):
@@ -57,7 +60,68 @@ def test_peaks():
 
 def test_prominence_stops_at_higher_peak():
     v = np.array([0, 10, 6, 8, 1, 9, 0.0])
-    assert [shapes._prominence(v, p) for p in (1, 3, 5)] == [10.0, 2.0, 8.0]
+    assert shapes._prominences(v, np.array([1, 3, 5])).tolist() == [10.0, 2.0, 8.0]
+
+
+def plain_peaks(v, height, distance, prominence):
+    """The same tests of peaks one by one."""
+    places = [i for i in shapes._plateau_peaks(v).tolist() if v[i] >= height]
+    kept = []
+    for i in sorted(places, key=lambda i: (v[i], i), reverse=True):
+        if all(abs(i - j) >= np.ceil(distance) for j in kept):
+            kept.append(i)
+
+    def rise(i):
+        left = max((j for j in range(i) if v[j] > v[i]), default=-1)
+        right = min((j for j in range(i + 1, len(v)) if v[j] > v[i]), default=len(v))
+        return v[i] - max(v[left + 1 : i + 1].min(), v[i:right].min())
+
+    return sorted(i for i in kept if prominence is None or rise(i) >= prominence)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_peaks_against_plain_search(seed):
+    rng = np.random.default_rng(seed)
+    v = rng.integers(0, 6, 200).astype(float) if seed % 2 else np.round(rng.normal(0, 5, 200).cumsum(), 1)
+    if seed % 3 == 0:
+        v = np.abs(v - v.mean()) + np.linspace(30, 0, 200)  # ends above the peaks
+    for height, distance, prominence in ((v.min(), 1, 0.0), (v.mean(), 7, 2.0), (np.percentile(v, 30), 3.4, 1.0), (v.mean(), 12, None)):
+        assert shapes.find_peaks(v, height, distance, prominence).tolist() == plain_peaks(v, height, distance, prominence)
+
+
+def plain_cells(x, y, cell):
+    """Cells of an outline, each row's crossings one by one."""
+    found = set()
+    nx, ny = np.roll(x, -1), np.roll(y, -1)
+    for row in range(int(np.floor(y.min() / cell)) - 1, int(np.floor(y.max() / cell)) + 2):
+        level = (row + 0.5) * cell
+        hit = (y <= level) != (ny <= level)
+        cross = np.sort(x[hit] + (level - y[hit]) / (ny[hit] - y[hit]) * (nx[hit] - x[hit]))
+        for left, right in zip(cross[::2], cross[1::2]):
+            found.update((c, row) for c in range(math.ceil(left / cell - 0.5), math.floor(right / cell - 0.5) + 1))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_footprints_against_sets_of_cells(seed):
+    rng = np.random.default_rng(seed)
+    cell = float(rng.choice([0.1, 0.25, 1.0]))
+    shapes_ = [rng.normal(0, 3, (2, int(rng.integers(0, 30)))) for _ in range(12)]  # outlines that cross themselves, and empty ones
+    shapes_ = [np.round(p) if seed % 3 == 0 else p for p in shapes_]
+    sides = [shapes_[:6], shapes_[6:]]
+    runs = [footprints.cell_runs(*(np.concatenate([p[i] for p in side]) for i in (0, 1)), np.array([p.shape[1] for p in side]), cell) for side in sides]
+    cells = [[plain_cells(*p, cell) if p.shape[1] else set() for p in side] for side in sides]
+    for side in (0, 1):
+        assert footprints.sizes_of(runs[side], 6).tolist() == [len(c) for c in cells[side]]
+    assert footprints.shared_cells(*runs, 6).tolist() == [len(a & b) for a, b in zip(*cells)]
+
+
+def test_overlap_of_odd_rows(spark):
+    square = ([0.0, 4.0, 4.0, 0.0], [0.0, 0.0, 4.0, 4.0])
+    rows = [(*square, *square, 0.0, 0.0, 45.0), (*square, *square, None, 0.0, 0.0), (None, None, *square, 0.0, 0.0, 0.0), (*square, [], [], 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "ax array<double>, ay array<double>, bx array<double>, by array<double>, dx double, dy double, t double")
+    got = [r[0] for r in df.select(overlap_ratio(0.01)(*[F.col(c) for c in df.columns])).collect()]
+    assert abs(got[0] - (math.sqrt(2) - 1)) < 0.01 and got[1:] == [None, 0.0, 0.0]  # turned about a corner
 
 
 def test_gaussian_keeps_constants_and_mass():
