@@ -51,3 +51,14 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict
 
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until it differs from every column of ``df``, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, same
+from .common import fresh, keep, same
 
 UNIT_WORDS = 4
 LONG = 16
@@ -132,12 +132,12 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _with_repeats(docs: DataFrame, least: int) -> DataFrame:
-    """The rows of ``docs`` with a last column ``__repeats``."""
-    found = repeated_units(docs, least)
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__body": F.xxhash64(F.coalesce("text", F.lit("")))})
-    found = found.select(F.col("doc_id").alias("__fid"), F.col("body").alias("__fbody"), F.col("repeats").alias("__repeats"))
-    joined = keyed.join(found, same(F.col("__id"), F.col("__fid")) & (F.col("__body") == F.col("__fbody")), "left")
-    return joined.select(*docs.columns, "__repeats")
+    """The rows of ``docs`` with a last column of repeats."""
+    own_id, own_body, doc_id, body, repeats = fresh(docs, "__id", "__body", "__of_id", "__of_body", "__repeats")
+    found = repeated_units(docs, least).select(F.col("doc_id").alias(doc_id), F.col("body").alias(body), F.col("repeats").alias(repeats))
+    keyed = docs.withColumns({own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), own_body: F.xxhash64(F.coalesce("text", F.lit("")))})
+    joined = keyed.join(found, same(F.col(own_id), F.col(doc_id)) & (F.col(own_body) == F.col(body)), "left")
+    return joined.select(*docs.columns, repeats)
 
 
 def dedup_lines(docs: DataFrame, least: int = UNIT_WORDS, run_words: int = RUN_WORDS) -> DataFrame:

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, map_batches, text_bytes
+from .common import fresh, keep, map_batches, text_bytes
 
 SHINGLE = 3
 RADIUS = 3
@@ -56,14 +56,19 @@ def fingerprint(body: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def text_digest() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long with the same bits."""
+    """doc_id, fp, digest: the fingerprint as a signed long with the same bits, and a hash of the text."""
 
     def batch(rows: dict) -> dict:
         fps = np.array([fingerprint(b, shingle) for b in rows["body"]], np.uint64).view(np.int64)
-        return {"doc_id": rows["doc_id"], "fp": fps.tolist()}
+        return {"doc_id": rows["doc_id"], "fp": fps.tolist(), "digest": rows["digest"]}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()), "doc_id long, fp long", batch)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(), text_digest().alias("digest"))
+    return map_batches(chosen, "doc_id long, fp long, digest long", batch)
 
 
 # ---------------------------------------------------------------- blocks
@@ -294,14 +299,14 @@ def classes(edges: DataFrame) -> DataFrame:
 
 
 def components(fps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, fp, component_id of rows doc_id, fp (which must be cheap to read again)."""
+    """``fps`` (doc_id, fp and what else it has; cheap to read again) with component_id and root, a fingerprint of the class."""
     nodes = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
     roots = classes(links(nodes, block))
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     placed = keep(placed, "simhash-placed")
     firsts = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = placed.select("fp", "root").join(firsts, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = placed.select("fp", "root").join(firsts, "root").select("fp", "root", "component_id")
+    return fps.join(named, "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
@@ -311,7 +316,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, block: int = BLOCK)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of each class's least id, one for each class; rows without an id stay."""
-    ids = near_duplicates(docs.filter("doc_id IS NOT NULL")).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(ids, docs["doc_id"] == F.col("__kept"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
+    """One row of each class: that of least id, then of least hash of the text, so unlike texts under one id
+    stay both; of rows equal in id and text one stays.  Rows without an id stay."""
+    fps = keep(fingerprints(docs.filter("doc_id IS NOT NULL")), "simhash-fingerprints")
+    best = components(fps).groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("best"))
+    own, doc_id, digest = fresh(docs, "__digest", "__best_id", "__best_digest")
+    best = best.select(F.col("best.doc_id").alias(doc_id), F.col("best.digest").alias(digest))
+    known = docs.withColumn(own, text_digest())
+    kept = known.join(best, (F.col("doc_id").cast("long") == F.col(doc_id)) & (F.col(own) == F.col(digest)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

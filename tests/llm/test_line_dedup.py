@@ -84,6 +84,15 @@ def test_cleaned_returns_the_columns(spark):
     assert rows_of(out, "doc_id", "text", "n_chars") == sorted([(1, text, len(text)), (2, "", 0), (3, None, None)], key=repr)
 
 
+def test_cleaned_with_columns_of_the_same_names(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = make_docs(spark, [(1, text), (2, text)])
+    docs = docs.withColumn("__id", docs["fp"]).withColumn("__BODY", docs["fp"]).withColumn("__repeats", docs["n_chars"]).withColumn("__of_id", docs["n_chars"])
+    out = line_dedup.cleaned(docs)
+    assert out.schema == docs.schema
+    assert rows_of(out, "doc_id", "text", "__id", "__repeats") == [(1, text, "x", len(text)), (2, "", "x", len(text))]
+
+
 @given(st.text(alphabet="ab .!?\n\t\r'\")é ", max_size=200))
 def test_units_tile_the_text(text):
     units = line_dedup.units(text)

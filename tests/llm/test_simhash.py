@@ -92,3 +92,11 @@ def test_one_of_each_keeps_the_least_id(spark):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert rows_of(kept, "doc_id") == [(2,), (5,), (None,)]
+
+
+def test_one_of_each_of_unlike_texts_under_one_id(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(200)) for w in ("word", "other"))
+    docs = make_docs(spark, [(4, one), (4, two), (4, two), (7, one), (8, two)])
+    kept = simhash.one_of_each(docs.withColumn("__kept", docs["fp"]).withColumn("__Digest", docs["fp"]).withColumn("__best_id", docs["n_chars"]))
+    assert rows_of(kept, "doc_id", "text") == sorted([(4, one), (4, two)], key=repr)
+    assert kept.columns[-3:] == ["__kept", "__Digest", "__best_id"]
