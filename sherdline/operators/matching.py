@@ -294,7 +294,8 @@ def match_target(edges: DataFrame, target: str, k: int = 3) -> DataFrame:
 def embedding_candidates(vectors: DataFrame, k: int = 50, rows: int = 4096) -> DataFrame:
     """The ``k`` most similar other items of every item of ``(item, vector)``, exact.
 
-    Only the contract of this step is known; cosine similarity is our choice.
+    Only the contract of this step is known; cosine similarity is our choice.  Vectors that are NULL, empty or
+    hold NULL or non-finite elements take no part; vectors of different lengths do not meet.
     """
 
     def score(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
@@ -312,8 +313,9 @@ def embedding_candidates(vectors: DataFrame, k: int = 50, rows: int = 4096) -> D
         found = pd.DataFrame({"item": a[i], "other": b[order.ravel()], "similarity": like[i, order.ravel()]})
         return found[np.isfinite(found["similarity"])]
 
-    one = vectors.withColumn("__all", F.lit(0))
-    scored = meet_blocks(one, ["__all"], "item", score, "item long, other long, similarity double", rows=rows)
+    finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    whole = vectors.filter((F.size("vector") > 0) & finite).withColumn("__length", F.size("vector"))
+    scored = meet_blocks(whole, ["__length"], "item", score, "item long, other long, similarity double", rows=rows)
     return keep_best(scored, "item", k, [F.col("similarity").desc(), "other"])
 
 

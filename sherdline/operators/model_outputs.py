@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import polyline as pl
 from ..functions.rules import piece_type
 from .ordering import join_on
 
@@ -216,14 +217,14 @@ def crop_geometry(
 
 
 def softmax(logits: Column) -> Column:
-    shifted = F.transform(logits, lambda v: F.exp(v - F.array_max(logits)))
-    return F.transform(shifted, lambda v: v / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+    raised = pl.let(F.array_max(logits), lambda most: F.transform(logits, lambda v: F.exp(v - most)))
+    return pl.let(raised, lambda e: pl.let(pl.total(e), lambda whole: F.transform(e, lambda v: v / whole)))
 
 
 def classify(df: DataFrame, names: Sequence[str], threshold: float, logits: str = "logits") -> DataFrame:
     """Adds ``class_index`` (the first maximum, which is also the line count of a count network),
     ``class_name, confidence, probabilities`` and the status the confidence calls for."""
-    scored = df.withColumn("__p", softmax(F.col(logits)))
+    scored = pl.hold(df, {"__p": softmax(F.col(logits))})
     index = F.array_position("__p", F.array_max("__p")) - 1
     listed = F.array(*[F.lit(n) for n in names])
     confidence = F.array_max("__p")

@@ -163,6 +163,12 @@ def test_nearest_vectors(spark):
         assert g["other"].tolist() == np.argsort(-like[i], kind="stable")[:5].tolist()
 
 
+def test_embedding_candidates_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, []), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [1.0, 0.0, 0.0]), (8, [0.0, 0.0])]
+    found = mm.embedding_candidates(spark.createDataFrame(rows, "item long, vector array<double>"), 5).collect()
+    assert sorted((r.item, r.other) for r in found) == [(1, 2), (1, 8), (2, 1), (2, 8), (8, 1), (8, 2)]
+
+
 def test_score_is_zero_on_own_reversal(spark):
     a = edge_rows(1)[0]
     b = (*a[:7], a[7][::-1], a[8][::-1], *a[9:])
