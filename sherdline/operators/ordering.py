@@ -93,6 +93,28 @@ def sorted_rank(
     )
 
 
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], pieces: int | None = None) -> DataFrame:
+    """Replaces every column of ``values`` by its running sum inside ``keys`` (none of them NULL) by ``order``, own row included.
+
+    A range shuffle on (keys, order) spreads a hot key over many tasks.  A row's sum is that of its task's
+    rows of the key so far plus what the tasks before hold of the key, so no window sees more than one
+    task's rows, or one row per task.
+    """
+    keys, order = list(keys), list(order)
+    pieces = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(df.repartitionByRange(pieces, *keys, *order).withColumn("__task", F.spark_partition_id()))
+    totals = placed.groupBy(*keys, "__task").agg(*[F.sum(v).alias(f"__of_{v}") for v in values])
+    earlier = Window.partitionBy(*keys).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "__task", *[F.sum(f"__of_{v}").over(earlier).alias(f"__before_{v}") for v in values])
+    inside = Window.partitionBy(*keys, "__task").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = placed.withColumns({v: F.sum(v).over(inside) for v in values}).join(
+        before.filter(F.col(f"__before_{values[0]}").isNotNull()), [*keys, "__task"], "left"
+    )
+    return summed.select(
+        *[(F.col(c) + F.coalesce(f"__before_{c}", F.lit(0))).alias(c) if c in values else F.col(c) for c in df.columns]
+    )
+
+
 def running_max(df: DataFrame, keys: Sequence[str], step: str, value: Column, out: str, inclusive: bool, block: int = 10_000) -> DataFrame:
     """Running maximum of ``value`` by the integer column ``step`` inside ``keys``.
 

@@ -146,11 +146,64 @@ def test_copies_do_not_multiply(spark):
 
 def test_windows_nest(spark):
     df = spark.createDataFrame(edge_rows(200, 5), EDGES)
-    window = {r["edge_a"]: r["n"] for r in mm.candidate_edges(df, "window", rows=64).collect()}
-    ratio = {r["edge_a"]: r["n"] for r in mm.candidate_edges(df, "ratio", rows=64).collect()}
+    window = {r["edge_a"]: r["n"] for r in mm.candidate_edges(df, "window").collect()}
+    ratio = {r["edge_a"]: r["n"] for r in mm.candidate_edges(df, "ratio").collect()}
     assert all(n <= ratio[a] for a, n in window.items())
 
 
+def counted_plainly(rows, mode):
+    """Every pair by itself; a NULL fragment id is a base of its own."""
+    axis = {"left": 0, "right": 0, "top": 1, "bottom": 1}
+    kept = [r for r in rows if r[3] == "tear" and r[4] and r[2] in axis and r[6] is not None and 0 < r[6] < 1e11]
+    base = lambda r: None if r[1] is None else r[1].rstrip("AB")
+    out = {}
+    for a in kept:
+        for b in kept:
+            near = a[6] * (1 - 0.3) <= b[6] <= a[6] * (1 + 0.3) if mode == "window" else abs(a[6] - b[6]) / max(a[6], b[6]) <= 0.3
+            lines = a[5] is None or b[5] is None or abs(a[5] - b[5]) <= 2
+            if a[4] == b[4] and axis[a[2]] == axis[b[2]] and base(a) != base(b) and near and lines:
+                n, ids, gap = out.get(a[0], (0, 0, 0.0))
+                out[a[0]] = (n + 1, ids + b[0], gap + abs(a[6] - b[6]))
+    return {a: (n, ids, pytest.approx(gap / n, abs=1e-9)) for a, (n, ids, gap) in out.items()}
+
+
+@pytest.mark.parametrize("mode", ["window", "ratio"])
+def test_candidate_counts_equal_brute_force(spark, mode):
+    """A base of 80 edges, lengths that tie and lie on the ends of windows, missing counts and ids, odd lengths, a row twice."""
+    rng = np.random.default_rng(3)
+    lengths = [1.0, 0.7, 1.3, 0.49, 1.0 / 0.7, 10.0, 7.0, 13.0, 9.1, 6.999999999999999]
+    rows = []
+    for i in range(500):
+        fragment = None if i % 41 == 0 else "HOT1A" if i % 6 == 0 else f"F{i % 90}{'AB'[i % 2]}"
+        length = lengths[int(rng.integers(10))] if i % 3 else float(rng.uniform(0.4, 14))
+        length = {77: float("nan"), 78: float("inf"), 79: 0.0, 80: None, 81: 5e11}.get(i, length)
+        lines = None if i % 13 == 0 else int(rng.integers(-1, 9))
+        rows.append((i, fragment, ("left", "right", "top", "bottom")[int(rng.integers(4))], "border" if i % 17 == 0 else "tear",
+                     ("s", "s", "t", "", None)[int(rng.integers(5))], lines, length, [0.0], [0.0], [0.0], [0.0], 1.0))
+    rows.append(rows[100])
+    found = mm.candidate_edges(spark.createDataFrame(rows, EDGES), mode, pieces=7).collect()
+    want = counted_plainly(rows, mode)
+    assert len(found) == len(want) > 200
+    assert {r["edge_a"]: (r["n"], r["id_sum"], r["mean_gap"]) for r in found} == want
+
+
+def test_candidate_counts_of_chosen_and_no_edges(spark):
+    df = spark.createDataFrame(edge_rows(120, 5), EDGES)
+    every = {r["edge_a"]: r["n"] for r in mm.candidate_edges(df).collect()}
+    asked = mm.candidate_edges(df.withColumn("asks", F.col("edge_id") % 7 == 0)).collect()
+    assert {r["edge_a"]: r["n"] for r in asked} == {a: n for a, n in every.items() if a % 7 == 0}
+    assert mm.candidate_edges(df.limit(0)).collect() == []
+
+
+def test_candidate_counts_meet_no_pairs_of_a_bucket(spark):
+    """Tasks hold an even share of the marks although all edges are copies in one bucket."""
+    rows = edge_rows(1, scripts=("s",))
+    copies = [(i, f"C{i}x", "left", "tear", "s", 3, 2.0, *rows[0][7:]) for i in range(6000)]
+    found = mm.candidate_edges(spark.createDataFrame(copies, EDGES), pieces=8).collect()
+    assert len(found) == 6000
+    assert all(r["n"] == 5999 and r["id_sum"] == 5999 * 6000 // 2 - r["edge_a"] and r["mean_gap"] == 0 for r in found)
+
+
 def test_nearest_vectors(spark):
     rng = np.random.default_rng(9)
     v = rng.normal(size=(90, 12))
