@@ -141,3 +141,23 @@ def ingest_stream_query(src):
     )
     query_.awaitTermination()
     return pending(src.spark, f"{folder}/table").select("fragment_id", "processing_status")
+
+
+@query("ingest_to_score", "K1 G2", """SELECT fragment_id, CASE WHEN has_circle IS NULL THEN 'circle,' ELSE '' END || 'edges' || CASE WHEN script_type IS NULL OR version IS DISTINCT FROM 'v2' THEN ',script' ELSE '' END AS to_score FROM (
+SELECT 'F' || CAST(o_orderkey AS VARCHAR) AS fragment_id, CASE WHEN o_custkey % 3 <> 0 THEN o_orderpriority END AS script_type, CASE WHEN o_custkey % 5 < 2 THEN 'v2' WHEN o_custkey % 5 = 2 THEN 'v1' END AS version,
+CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 4 = 0 END AS has_circle FROM orders) q""")
+def ingest_to_score(src):
+    """Catalogue rows that arrive in several files, with the scorers that each still needs."""
+    folder = _folder(src)
+    rows = src("orders").selectExpr(
+        "'F' || o_orderkey AS fragment_id", "o_orderkey || '.jpg' AS image_path", "CASE WHEN o_custkey % 3 <> 0 THEN o_orderpriority END AS script_type",
+        "CASE WHEN o_custkey % 5 < 2 THEN 'v2' WHEN o_custkey % 5 = 2 THEN 'v1' END AS script_type_classification_model_version",
+        "CASE WHEN o_custkey % 2 = 0 THEN o_custkey % 4 = 0 END AS has_circle",
+    )
+    rows.repartition(6, "fragment_id").write.parquet(f"{folder}/in")
+    query_ = ingest_stream(
+        src.spark, f"{folder}/in", rows.schema, lambda b: b, f"{folder}/table", f"{folder}/checkpoint", files_per_batch=3,
+        scorers={"script": "v2", "circle": "1", "edges": "1"},
+    )
+    query_.awaitTermination()
+    return pending(src.spark, f"{folder}/table").select("fragment_id", F.array_join("to_score", ",").alias("to_score"))

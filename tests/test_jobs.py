@@ -402,11 +402,68 @@ def test_files(spark, tmp_path):
     assert (row["path"], row["has_top_edge"], row["has_left_edge"], row["reviewed"]) == ("C/a.jpg", True, None, True)
 
 
+class Stream:
+    """A source folder, its table, and runs of the stream over what is there."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.source, self.table, self.check = spark, str(folder / "in"), folder / "table", folder / "check"
+
+    def bring(self, rows, check=None, scorers=None):
+        """Adds (id, path, script, circle) rows as one file and runs the stream to its end."""
+        schema = "id string, path string, script string, circle boolean"
+        if rows is not None:
+            self.spark.createDataFrame([(*r, *[None] * (4 - len(r))) for r in rows], schema).coalesce(1).write.mode("append").parquet(self.source)
+        to_rows = lambda b: b.selectExpr("id AS fragment_id", "path AS image_path", "script AS script_type", "circle AS has_circle")
+        ingest_stream(self.spark, self.source, schema, to_rows, str(self.table), str(check or self.check), scorers=scorers).awaitTermination()
+
+    def rows(self):
+        return sorted((r["fragment_id"], r["image_path"], r["batch_id"]) for r in pending(self.spark, str(self.table)).collect())
+
+
 def test_stream_takes_each_fragment_once(spark, tmp_path):
-    source, table = str(tmp_path / "in"), str(tmp_path / "table")
-    to_rows = lambda b: b.selectExpr("id AS fragment_id", "id || '.jpg' AS image_path")
-    for batch in (["a", "b", "a"], ["b", "c"]):
-        spark.createDataFrame([(x,) for x in batch], "id string").coalesce(1).write.mode("append").parquet(source)
-        ingest_stream(spark, source, "id string", to_rows, table, str(tmp_path / "check")).awaitTermination()
-    got = pending(spark, table).toPandas()
-    assert sorted(got["fragment_id"]) == ["a", "b", "c"] and set(got["processing_status"]) == {"pending"}
+    stream = Stream(spark, tmp_path)
+    assert stream.rows() == []
+    stream.bring([("a", "2.jpg"), ("b", "1.jpg"), ("a", "1.jpg"), (None, "n.jpg"), ("n", None)])
+    stream.bring([("b", "0.jpg"), ("c", "9.jpg")])
+    assert stream.rows() == [("a", "1.jpg", 0), ("b", "1.jpg", 0), ("c", "9.jpg", 1)]
+
+
+def test_stream_reads_no_earlier_partition(spark, tmp_path):
+    """The first batch's files hold no Parquet while the second runs."""
+    stream = Stream(spark, tmp_path)
+    stream.bring([("a", "1.jpg"), ("b", "1.jpg")])
+    written = {f: f.read_bytes() for f in stream.table.rglob("*") if f.is_file() and "batch_id=0" in str(f)}
+    assert any(f.suffix == ".parquet" for f in written)
+    for f in written:
+        f.write_bytes(b"none")
+    stream.bring([("a", "0.jpg"), ("c", "1.jpg")])
+    for f, data in written.items():
+        f.write_bytes(data)
+    assert stream.rows() == [("a", "1.jpg", 0), ("b", "1.jpg", 0), ("c", "1.jpg", 1)]
+
+
+def test_stream_batch_that_runs_again_doubles_nothing(spark, tmp_path):
+    stream = Stream(spark, tmp_path)
+    stream.bring([("a", "1.jpg")])
+    stream.bring([("a", "0.jpg"), ("b", "1.jpg")])
+    want = stream.rows()
+    for name in ("1", ".1.crc"):  # as if the driver was lost after the write of batch 1
+        (stream.check / "commits" / name).unlink(missing_ok=True)
+    stream.bring(None)
+    assert stream.rows() == want == [("a", "1.jpg", 0), ("b", "1.jpg", 1)]
+
+
+def test_stream_with_a_new_checkpoint_keeps_the_table(spark, tmp_path):
+    stream = Stream(spark, tmp_path)
+    stream.bring([("a", "1.jpg"), ("b", "1.jpg")])
+    stream.bring([("c", "1.jpg")], check=tmp_path / "other")  # reads both files anew
+    stream.bring([("c", "0.jpg"), ("d", "1.jpg")], check=tmp_path / "other")
+    assert [r[0] for r in stream.rows()] == ["a", "b", "c", "d"]
+    assert [r[1] for r in stream.rows()] == ["1.jpg"] * 4
+
+
+def test_stream_names_the_scorers_a_row_needs(spark, tmp_path):
+    stream = Stream(spark, tmp_path)
+    stream.bring([("a", "1.jpg"), ("b", "1.jpg", "s", True), ("c", "1.jpg", None, False)], scorers={"script": "v1", "circle": "1", "edges": "2"})
+    got = {r["fragment_id"]: r["to_score"] for r in pending(spark, str(stream.table)).collect()}
+    assert got == {"a": ["circle", "edges", "script"], "b": ["edges", "script"], "c": ["edges", "script"]}
