@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import piece_type
 from ..operators import metrics as mt
 from ..operators import model_outputs as mo
+from ..operators.staged import Scorer, dry_run, staged_run
 from .registry import query
 
 CLASSES = [
@@ -75,6 +76,64 @@ def run_outcome(src):
     return mo.run_outcome(src.spark.sql(_RESULTS, lineitem=src("lineitem")))
 
 
+# a run of four scorers: lines from detections, then script and scale from the line count, then a flag from the script
+_STAGED = """counted AS (SELECT image_id, count(*) FILTER (confidence >= 0.25e0) AS n, max(confidence) >= 0.5e0 AS fine FROM detections_v GROUP BY image_id),
+one AS (SELECT f.id, f.script_type AS script_0, f.line_count AS lines_0, f.scale_unit AS unit_0, f.has_circle AS circle_0, c.image_id IS NOT NULL AND f.line_count IS NULL AS ran_1, coalesce(c.fine, false) AS fine,
+CASE WHEN f.line_count IS NULL AND c.fine THEN c.n ELSE f.line_count END AS line_count FROM fragments_v f LEFT JOIN counted c ON c.image_id = f.id),
+two AS (SELECT *, script_0 IS NULL OR coalesce(line_count, 0) > 2 AS ran_2, line_count IS NOT NULL AS fine_2, unit_0 IS NULL AS ran_3 FROM one),
+three AS (SELECT *, CASE WHEN ran_2 AND fine_2 THEN 'lines ' || CAST(line_count AS VARCHAR) ELSE script_0 END AS script_type,
+CASE WHEN ran_3 THEN CASE WHEN line_count > 1 THEN 'cm' END ELSE unit_0 END AS scale_unit FROM two),
+four AS (SELECT *, coalesce(script_type LIKE 'lines %', false) AS ran_4 FROM three),
+last AS (SELECT *, CASE WHEN ran_4 THEN line_count % 2 = 0 ELSE circle_0 END AS has_circle,
+CASE WHEN ran_4 OR (ran_2 AND fine_2) THEN NULL WHEN ran_2 THEN 'no lines' WHEN ran_1 AND NOT fine THEN 'faint' END AS processing_error FROM four)"""
+
+
+def _staged(src):
+    detections = src("detections_v").groupBy("image_id").agg(
+        F.count_if(F.col("confidence") >= 0.25).alias("n"), (F.max("confidence") >= 0.5).alias("success")
+    )
+
+    def lines(rows):
+        met = rows.join(detections, rows["id"] == detections["image_id"])
+        return met.select("id", "success", F.col("n").alias("line_count"), F.when(~F.col("success"), "faint").alias("processing_error")).withColumn(
+            "wrote", F.when(F.col("success"), F.array(F.lit("line_count"))).otherwise(F.array(F.lit("processing_error")))
+        )
+
+    count = F.col("line_count")
+    return src("fragments_v").select("id", "script_type", "line_count", "scale_unit", "has_circle"), [
+        Scorer("lines", ("line_count",), ("line_count", "processing_error"), lines, count.isNull()),
+        Scorer(
+            "script", ("script_type", "line_count"), ("script_type", "processing_error"),
+            {"script_type": F.concat(F.lit("lines "), count), "processing_error": F.when(count.isNull(), "no lines")},
+            F.col("script_type").isNull() | (count > 2), count.isNotNull(), on_failure=("processing_error",),
+        ),
+        Scorer("scale", ("scale_unit", "line_count"), ("scale_unit",), {"scale_unit": F.when(count > 1, "cm")}, F.col("scale_unit").isNull()),
+        Scorer(
+            "circle", ("script_type", "line_count"), ("has_circle", "processing_error"),
+            {"has_circle": count % 2 == 0, "processing_error": F.lit(None).cast("string")}, F.col("script_type").startswith("lines "),
+        ),
+    ]
+
+
+@query("staged_run", "G3 G2", f"""WITH {_STAGED}
+SELECT id, line_count, script_type, scale_unit, has_circle, processing_error, (ran_1 AND fine) OR (ran_2 AND fine_2) OR ran_3 OR ran_4 AS ok FROM last""")
+def staged_run_query(src):
+    return staged_run(*_staged(src)).select(
+        "id", "line_count", "script_type", "scale_unit", "has_circle", "processing_error", F.col("outcome.ok").alias("ok")
+    )
+
+
+@query("dry_run", "G3 G2", f"""WITH {_STAGED}
+SELECT id, (ran_1 AND fine) OR (ran_2 AND fine_2) OR ran_3 OR ran_4 AS ok, concat_ws(',', CASE WHEN ran_1 THEN 'lines' END, CASE WHEN ran_2 THEN 'script' END, CASE WHEN ran_3 THEN 'scale' END, CASE WHEN ran_4 THEN 'circle' END) AS ran,
+concat_ws(',', CASE WHEN ran_1 AND NOT fine THEN 'lines' END, CASE WHEN ran_2 AND NOT fine_2 THEN 'script' END) AS failed,
+concat_ws(',', CASE WHEN ran_4 THEN 'has_circle' END, CASE WHEN ran_1 AND fine THEN 'line_count' END, CASE WHEN (ran_1 AND NOT fine) OR ran_2 OR ran_4 THEN 'processing_error' END,
+CASE WHEN ran_3 THEN 'scale_unit' END, CASE WHEN ran_2 AND fine_2 THEN 'script_type' END) AS updated,
+concat_ws(',', CASE WHEN has_circle IS DISTINCT FROM circle_0 THEN 'has_circle' END, CASE WHEN line_count IS DISTINCT FROM lines_0 THEN 'line_count' END, CASE WHEN processing_error IS NOT NULL THEN 'processing_error' END,
+CASE WHEN scale_unit IS DISTINCT FROM unit_0 THEN 'scale_unit' END, CASE WHEN script_type IS DISTINCT FROM script_0 THEN 'script_type' END) AS changed FROM last""")
+def dry_run_query(src):
+    return dry_run(*_staged(src)).select("id", "ok", *[F.array_join(c, ",").alias(c) for c in ("ran", "failed", "updated", "changed")])
+
+
 @query("lines_from_detections", "G4", """SELECT det_id, image_id, row_number() OVER (PARTITION BY image_id ORDER BY y1, det_no, det_id) AS line_id, count(*) OVER (PARTITION BY image_id) AS num_lines
 FROM detections_v WHERE confidence >= 0.25""")
 def lines_from_detections(src):
