@@ -133,17 +133,75 @@ def running_max(df: DataFrame, keys: Sequence[str], step: str, value: Column, ou
     return joined.withColumn(out, F.greatest("__carried", F.max("__v").over(inside))).drop("__v", "__block", "__carried")
 
 
+_CELLS = 4096  # cells that a value range is cut into
+_FEW_ROWS = 10_000
+
+
+def _cell(value: Column, low: Column, high: Column) -> Column:
+    """The cell of ``low..high`` that holds a value; a greater value is never in an earlier cell."""
+    value, low, high = value / 2, low / 2, high / 2  # the range itself may exceed the doubles
+    share = F.when(high > low, (value - low) / (high - low)).otherwise(F.lit(0.0))
+    return F.least(F.floor(share * _CELLS), F.lit(_CELLS - 1)).cast("int")
+
+
+def _magnitude(value: Column) -> Column:
+    """Cells of a 64th of a doubling, in the order of the values: NULL, least, negative, zero, positive, greatest, NaN."""
+    size = F.abs(value)
+    place = F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size)) * 64).cast("int") + 100_000
+    finite = F.when(value > 0, place).when(value < 0, -place).otherwise(F.lit(0))
+    return F.when(value.isNull(), -300_000).when(F.isnan(value), 300_000).when(size == float("inf"), F.when(value > 0, 200_000).otherwise(-200_000)).otherwise(finite)
+
+
+def _holding(cells: DataFrame, keys: Sequence[str], cell: str) -> DataFrame:
+    """The cell of each wanted rank: keys, rank, what is left of the rank inside the cell, and the cell's columns."""
+    before = Window.partitionBy(*keys, "rank").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    counted = cells.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    inside = (F.col("__left") > F.col("__before")) & (F.col("__left") <= F.col("__before") + F.col("__n"))
+    return counted.filter(inside).withColumn("__left", F.col("__left") - F.col("__before")).drop("__before")
+
+
+def _settled(small: DataFrame) -> DataFrame:
+    """At most ``_FEW_ROWS`` rows are worked out now and go on as literal rows, whose size Spark knows; more stay a plan."""
+    rows = small.limit(_FEW_ROWS + 1).toArrow()
+    return small.sparkSession.createDataFrame(rows, small.schema) if rows.num_rows <= _FEW_ROWS else small
+
+
+def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Column) -> DataFrame:
+    """``keys, rank, value`` for each of the 1-based ranks that ``ranks`` (an array of longs over the key's size ``n``) names.
+
+    Values, cast to double, rise from NULL to NaN.  No row is sorted or moved: counts by magnitude tell which cell
+    holds the rank, two passes over that cell cut its range by 4096 each, and a last one counts the distinct values
+    that are left.  A pass sends at most its cells for each key and task; beyond 10,000 keys and ranks Spark may also
+    move the rows to the few they meet.  The passes but the last run while the query is built.
+    """
+    keys = list(keys)
+    slim = df.select(*keys, F.col(value).cast("double").alias("__v"))
+    spread = [F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high")]
+    cells = slim.groupBy(*keys, _magnitude(F.col("__v")).alias("__cell")).agg(*spread)
+    sized = cells.withColumn("n", F.sum("__n").over(Window.partitionBy(*keys))).withColumn("rank", F.explode(F.array_distinct(ranks)))
+    chosen = _settled(_holding(sized.drop("n").withColumn("__left", F.col("rank")), keys, "__cell"))
+    path = ["__cell"]
+    rows = slim.withColumn("__cell", _magnitude(F.col("__v")))
+    for step in range(2):
+        name = f"__cell{step}"
+        bounds = chosen.select(*keys, *path, "__low", "__high").distinct()
+        rows = join_on(rows, bounds, [*keys, *path]).withColumn(name, F.coalesce(_cell(F.col("__v"), F.col("__low"), F.col("__high")), F.lit(0)))
+        rows = rows.drop("__low", "__high")
+        path.append(name)
+        cells = rows.groupBy(*keys, *path).agg(*spread)
+        chosen = _settled(_holding(join_on(cells, chosen.select(*keys, *path[:-1], "rank", "__left"), [*keys, *path[:-1]]), keys, name))
+    left = join_on(rows, chosen.select(*keys, *path).distinct(), [*keys, *path]).groupBy(*keys, *path, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    found = _holding(join_on(left, chosen.select(*keys, *path, "rank", "__left"), [*keys, *path]), keys, "__v")
+    return found.select(*keys, "rank", F.col("__v").alias(value))
+
+
 def at_quantile(df: DataFrame, keys: Sequence[str], value: str, item: str, q: float, out: str) -> DataFrame:
-    """Nearest-rank quantile per key, read off the sorted rank, so no key's values meet in one buffer."""
-    ranked = sorted_rank(df.select(*keys, value, item), keys, [F.col(value), F.col(item)], out="__rank")
-    wanted = F.greatest(F.ceil(F.lit(q) * F.col("__rank_of")), F.lit(1))
-    return ranked.filter(F.col("__rank") == wanted).select(*keys, F.col(value).alias(out))
+    """Nearest-rank quantile per key, as a double; NULL values are the least.  ``item`` names the rows; equal values need no order."""
+    rank = F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1))
+    return select_ranks(df, keys, value, F.array(rank)).select(*keys, F.col(value).alias(out))
 
 
 def median_of(df: DataFrame, keys: Sequence[str], value: str, item: str, out: str) -> DataFrame:
-    """Exact median per key from the one or two middle ranks."""
-    ranked = sorted_rank(df.select(*keys, value, item), keys, [F.col(value), F.col(item)], out="__rank")
-    low = F.floor((F.col("__rank_of") + 1) / 2)
-    high = F.ceil((F.col("__rank_of") + 1) / 2)
-    middle = ranked.filter((F.col("__rank") == low) | (F.col("__rank") == high))
-    return middle.groupBy(*keys).agg(F.avg(value).alias(out))
+    """Exact median per key from the one or two middle ranks; NULL values are the least, and left out of a mean of two."""
+    middle = F.array(F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2))
+    return select_ranks(df, keys, value, middle).groupBy(*keys).agg(F.avg(value).alias(out))

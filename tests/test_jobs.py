@@ -59,6 +59,37 @@ def test_quantile_and_median(spark):
     assert medians == p.groupby("k")["v"].median().to_dict()
 
 
+def test_ranks_of_odd_values_are_selected(spark, monkeypatch):
+    """NULL, NaN, infinite, equal, subnormal and huge values, a NULL key and a key of one row: all ranks, by literal rows and by joins."""
+    rng = np.random.default_rng(8)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 1.0, 1.0000000000000002]
+    rows = [("h", x) for x in odd * 3] + [("h", float(x)) for x in rng.normal(size=400)] + [("h", 7.25)] * 300
+    rows += [(None, float(x)) for x in rng.integers(-3, 3, 40)] + [("one", 3.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    place = lambda v: (0, 0) if v is None else (2, 0) if v != v else (1, v)
+    want = {}
+    for k in ("h", None, "one"):
+        own = sorted((v for kk, v in rows if kk == k), key=place)
+        want |= {(k, i + 1): place(v) for i, v in enumerate(own) if i % 7 == 0}
+    every = F.filter(F.sequence(F.lit(1), F.col("n")), lambda r: r % 7 == 1)
+    for few in (10_000, 0):
+        monkeypatch.setattr(od, "_FEW_ROWS", few)
+        got = {(r["k"], r["rank"]): place(r["v"]) for r in od.select_ranks(df, ["k"], "v", every).collect()}
+        assert got == want
+    assert od.select_ranks(df.limit(0), ["k"], "v", every).collect() == []
+
+
+def test_quantiles_move_no_rows(spark):
+    """No checkpoint and no exchange of rows: what is shuffled are counts."""
+    df = spark.range(0, 50_000, numPartitions=4).selectExpr("'k' AS k", "id", "CAST(id * 7919 % 50021 AS DOUBLE) AS v")
+    found = od.at_quantile(df, ["k"], "v", "id", 0.95, "q")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "RepartitionByExpression" not in plan
+    executed = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in executed and "SortMergeJoin" not in executed
+    assert found.collect()[0]["q"] == sorted(i * 7919 % 50021 for i in range(50_000))[47_499]
+
+
 def test_group_split_keeps_collections_whole(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice(["A"] * 5 + list("BCDEFGH")), *[rng.random() < 0.4 for _ in range(4)]) for i in range(300)]
