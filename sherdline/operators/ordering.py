@@ -135,6 +135,8 @@ def running_max(df: DataFrame, keys: Sequence[str], step: str, value: Column, ou
 
 _CELLS = 4096  # cells that a value range is cut into
 _FEW_ROWS = 10_000
+_CROWD = 100_000  # rows of a cell whose distinct values are counted as they are
+_STEPS = 6  # cuts after which a cell holds but one double
 
 
 def _cell(value: Column, low: Column, high: Column) -> Column:
@@ -160,36 +162,43 @@ def _holding(cells: DataFrame, keys: Sequence[str], cell: str) -> DataFrame:
     return counted.filter(inside).withColumn("__left", F.col("__left") - F.col("__before")).drop("__before")
 
 
-def _settled(small: DataFrame) -> DataFrame:
-    """At most ``_FEW_ROWS`` rows are worked out now and go on as literal rows, whose size Spark knows; more stay a plan."""
+def _settled(small: DataFrame) -> tuple[DataFrame, bool | None]:
+    """Cells of ranks, and whether one is crowded by several values.  At most ``_FEW_ROWS`` are worked out now and
+    go on as literal rows, whose size Spark knows; more stay a plan, of which that is not known."""
     rows = small.limit(_FEW_ROWS + 1).toArrow()
-    return small.sparkSession.createDataFrame(rows, small.schema) if rows.num_rows <= _FEW_ROWS else small
+    if rows.num_rows > _FEW_ROWS:
+        return small, None
+    crowded = any(n > _CROWD and low is not None and low < high for n, low, high in zip(*(rows[c].to_pylist() for c in ("__n", "__low", "__high"))))
+    return small.sparkSession.createDataFrame(rows, small.schema), crowded
 
 
 def select_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Column) -> DataFrame:
     """``keys, rank, value`` for each of the 1-based ranks that ``ranks`` (an array of longs over the key's size ``n``) names.
 
     Values, cast to double, rise from NULL to NaN.  No row is sorted or moved: counts by magnitude tell which cell
-    holds the rank, two passes over that cell cut its range by 4096 each, and a last one counts the distinct values
-    that are left.  A pass sends at most its cells for each key and task; beyond 10,000 keys and ranks Spark may also
-    move the rows to the few they meet.  The passes but the last run while the query is built.
+    holds the rank, passes over that cell cut its range by 4096 each while it is crowded, and a last one counts the
+    distinct values that are left.  A pass sends at most its cells for each key and task.  The passes but the last
+    run while the query is built.  Beyond 10,000 keys and ranks two cuts are made in any case, and Spark may also
+    move the rows to the cells they meet.
     """
     keys = list(keys)
     slim = df.select(*keys, F.col(value).cast("double").alias("__v"))
     spread = [F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high")]
     cells = slim.groupBy(*keys, _magnitude(F.col("__v")).alias("__cell")).agg(*spread)
     sized = cells.withColumn("n", F.sum("__n").over(Window.partitionBy(*keys))).withColumn("rank", F.explode(F.array_distinct(ranks)))
-    chosen = _settled(_holding(sized.drop("n").withColumn("__left", F.col("rank")), keys, "__cell"))
+    chosen, crowded = _settled(_holding(sized.drop("n").withColumn("__left", F.col("rank")), keys, "__cell"))
     path = ["__cell"]
     rows = slim.withColumn("__cell", _magnitude(F.col("__v")))
-    for step in range(2):
+    for step in range(_STEPS):
+        if crowded is False or (crowded is None and step == 2):
+            break
         name = f"__cell{step}"
         bounds = chosen.select(*keys, *path, "__low", "__high").distinct()
         rows = join_on(rows, bounds, [*keys, *path]).withColumn(name, F.coalesce(_cell(F.col("__v"), F.col("__low"), F.col("__high")), F.lit(0)))
         rows = rows.drop("__low", "__high")
         path.append(name)
         cells = rows.groupBy(*keys, *path).agg(*spread)
-        chosen = _settled(_holding(join_on(cells, chosen.select(*keys, *path[:-1], "rank", "__left"), [*keys, *path[:-1]]), keys, name))
+        chosen, crowded = _settled(_holding(join_on(cells, chosen.select(*keys, *path[:-1], "rank", "__left"), [*keys, *path[:-1]]), keys, name))
     left = join_on(rows, chosen.select(*keys, *path).distinct(), [*keys, *path]).groupBy(*keys, *path, "__v").agg(F.count(F.lit(1)).alias("__n"))
     found = _holding(join_on(left, chosen.select(*keys, *path, "rank", "__left"), [*keys, *path]), keys, "__v")
     return found.select(*keys, "rank", F.col("__v").alias(value))

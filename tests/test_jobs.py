@@ -72,8 +72,9 @@ def test_ranks_of_odd_values_are_selected(spark, monkeypatch):
         own = sorted((v for kk, v in rows if kk == k), key=place)
         want |= {(k, i + 1): place(v) for i, v in enumerate(own) if i % 7 == 0}
     every = F.filter(F.sequence(F.lit(1), F.col("n")), lambda r: r % 7 == 1)
-    for few in (10_000, 0):
+    for few, crowd in ((10_000, 100_000), (10_000, 1), (0, 1)):
         monkeypatch.setattr(od, "_FEW_ROWS", few)
+        monkeypatch.setattr(od, "_CROWD", crowd)
         got = {(r["k"], r["rank"]): place(r["v"]) for r in od.select_ranks(df, ["k"], "v", every).collect()}
         assert got == want
     assert od.select_ranks(df.limit(0), ["k"], "v", every).collect() == []
