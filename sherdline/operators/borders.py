@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import polyline as pl
 from ..functions.rules import piece_type
-from ..functions.shapes import hull_pieces, oriented_frame
+from ..functions.shapes import PIECE, RUN, hull_sides, side_runs
 from .model_outputs import SIDE_EDGES, crop_geometry
 
 
@@ -66,48 +66,23 @@ def hull_segments(
     angle_h: float = 12.0, angle_v: float = 78.0,
 ) -> DataFrame:
     """Straight pieces of the convex hull that run along a side of the 1..99 percentile box."""
-    enough = df.filter(F.size("xs") >= 3)
-    box = {
-        "__left": pl.linear_percentile(F.col("xs"), 0.01), "__right": pl.linear_percentile(F.col("xs"), 0.99),
-        "__top": pl.linear_percentile(F.col("ys"), 0.01), "__low": pl.linear_percentile(F.col("ys"), 0.99),
-    }
-    hulled = pl.hold(enough, box).withColumn("__hull", hull_pieces(err_thresh)(F.col("xs"), F.col("ys")))
-    cut = hulled.select(
-        "*", F.col("__hull.xs").alias("__hx"), F.col("__hull.ys").alias("__hy"), F.posexplode("__hull.pieces").alias("__no", "__p")
-    )
-    part = lambda c: F.slice(c, F.col("__p.a") + 1, F.col("__p.b") - F.col("__p.a") + 1)
-    parts = pl.hold(cut, {"__px": part("__hx"), "__py": part("__hy")})
-    bw = F.greatest(F.lit(1.0), F.col("__right") - F.col("__left"))
-    bh = F.greatest(F.lit(1.0), F.col("__low") - F.col("__top"))
-    measured = pl.hold(parts, {
-        "__fit": pl.line_fit(F.col("__px"), F.col("__py")),
-        "__xm": pl.linear_percentile(F.col("__px"), 0.5), "__ym": pl.linear_percentile(F.col("__py"), 0.5),
-        "__ch": pl.span(F.col("__px")) / bw, "__cv": pl.span(F.col("__py")) / bh,
-    })
-    level = (F.col("__fit.angle") < angle_h) & (F.col("__ch") >= min_cov)
-    upright = (F.col("__fit.angle") > angle_v) & (F.col("__cv") >= min_cov)
-    by = lambda place, to, size: F.abs(F.col(place) - F.col(to)) <= near * size
-    hits = F.array_compact(F.array(
-        F.when(level & by("__ym", "__top", bh), F.lit("top_edge")), F.when(level & by("__ym", "__low", bh), F.lit("bottom_edge")),
-        F.when(upright & by("__xm", "__left", bw), F.lit("left_edge")), F.when(upright & by("__xm", "__right", bw), F.lit("right_edge")),
-    ))
-    sided = measured.select("id", "__no", "__fit", "__ch", "__cv", F.explode(hits).alias("side"))
-    coverage = F.when(_horizontal(F.col("side")), F.col("__ch")).otherwise(F.col("__cv"))
-    best = sided.groupBy("id", "side").agg(
-        F.max(F.struct(coverage.alias("coverage"), (-F.col("__no")).alias("first"), F.col("__fit.err").alias("err"))).alias("best")
-    )
-    all_sides = df.select("id", F.explode(F.array(*[F.lit(s) for s in SIDE_EDGES])).alias("side"))
-    return all_sides.join(best, ["id", "side"], "left").select(
+    rows = _rated_sides(df, hull_sides(err_thresh, min_cov, near, angle_h, angle_v), PIECE)
+    # every input row has its sides, rows of one id all the best of them; a NULL id is nobody's
+    best = rows.groupBy("id", "side").agg(F.max(F.when(F.col("id").isNotNull(), F.col("rated"))).alias("best"), F.count(F.lit(1)).alias("__n"))
+    return best.select("*", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(
         "id", "side", F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"), F.col("best.err").alias("line_err"),
         (F.col("best.err") <= max_err).alias("border"),
     )
 
 
-def _oriented(df: DataFrame, window: int, passes: int) -> DataFrame:
-    """Outlines in their oriented frame: ``u, v, width, height``; all NULL where there is no such frame."""
-    framed = df.withColumn("__f", oriented_frame(window, passes)(F.col("xs"), F.col("ys")))
-    sized = {"width": F.greatest(F.array_max("__f.xs"), F.lit(1.0)), "height": F.greatest(F.array_max("__f.ys"), F.lit(1.0))}
-    return pl.hold(framed, {"u": F.col("__f.xs"), "v": F.col("__f.ys"), **sized}).drop("__f")
+def _rated_sides(df: DataFrame, sides, names: tuple[str, ...]) -> DataFrame:
+    """Four rows of each row: ``id, side, judged`` and ``rated``, the best run or piece, NULL where there is none."""
+    made = df.select("id", sides(F.col("xs"), F.col("ys")).alias("__s"))
+    zipped = F.arrays_zip(*[F.col(f"__s.{n}").alias(n) for n in names])
+    label = F.element_at(F.array(*[F.lit(s) for s in ("top_edge", "bottom_edge", "left_edge", "right_edge")]), F.col("__no") + 1)
+    return made.select("id", F.col("__s.judged").alias("judged"), F.posexplode(zipped).alias("__no", "__r")).select(
+        "id", label.alias("side"), "judged", F.when(~F.isnan("__r.first"), F.col("__r")).alias("rated")
+    )
 
 
 def oriented_runs(
@@ -115,60 +90,8 @@ def oriented_runs(
     angle_tol: float = 18.0, min_confidence: float = 0.60, window: int = 7, passes: int = 2, trim: float = 0.10,
 ) -> DataFrame:
     """Runs near the sides of the oriented frame, rated by coverage, straightness, offset and angle."""
-    framed = _oriented(df.select("id", "xs", "ys"), window, passes)
-    tx, ty = F.greatest(F.lit(2.0), F.col("width") * near), F.greatest(F.lit(2.0), F.col("height") * near)
-    close = lambda axis, to, tol: F.transform(axis, lambda p: F.abs(p - to) <= tol)
-    masks = {
-        "top_edge": close("v", F.lit(0.0), ty), "bottom_edge": close("v", F.col("height"), ty),
-        "left_edge": close("u", F.lit(0.0), tx), "right_edge": close("u", F.col("width"), tx),
-    }
-    rows = _side_rows(framed, masks)
-    points = F.size("u")
-    length = lambda r: F.when(r["a"] <= r["b"], r["b"] - r["a"] + 1).otherwise(points - r["a"] + r["b"] + 1)
-    whole = lambda c, r: F.when(
-        r["a"] <= r["b"], F.slice(c, r["a"] + 1, F.greatest(r["b"] - r["a"] + 1, F.lit(0)))
-    ).otherwise(F.concat(F.slice(c, r["a"] + 1, points), F.slice(c, F.lit(1), r["b"] + 1)))
-    numbered = F.transform("__runs", lambda r, i: F.struct(i.alias("no"), r["a"].alias("a"), r["b"].alias("b")))
-    # only the points of a run leave the row, not the whole outline once per run
-    cut = F.transform(
-        F.filter(numbered, lambda r: length(r) >= 12),
-        lambda r: F.struct(r["no"].alias("no"), whole(F.col("u"), r).alias("ru"), whole(F.col("v"), r).alias("rv")),
-    )
-    rows = rows.withColumn("judged", F.col("u").isNotNull())
-    held = rows.select("id", "side", "judged", "width", "height", F.explode_outer(cut).alias("__r")).select(
-        "id", "side", "judged", "width", "height", F.col("__r.no").alias("__no"), F.col("__r.ru").alias("__ru"), F.col("__r.rv").alias("__rv")
-    )
-    n = F.size("__ru")
-    off = F.floor(n * trim).cast("int")
-    kept = n - 2 * off
-    skip = F.when((off == 0) | (n <= 2 * off + 5) | (kept < 8), F.lit(0)).otherwise(off)
-    middle = lambda c: F.slice(c, skip + 1, n - 2 * skip)
-    trimmed = pl.hold(held, {"__tu": middle("__ru"), "__tv": middle("__rv")})
-    level = _horizontal(F.col("side"))
-    aim = F.when(F.col("side") == "bottom_edge", F.col("height")).when(F.col("side") == "right_edge", F.col("width")).otherwise(0.0)
-    distance = pl.mean(F.transform(F.when(level, F.col("__tv")).otherwise(F.col("__tu")), lambda p: F.abs(p - aim)))
-    rated = pl.hold(trimmed, {
-        "coverage": F.when(level, pl.span(F.col("__ru")) / F.greatest(F.lit(1.0), F.col("width"))).otherwise(
-            pl.span(F.col("__rv")) / F.greatest(F.lit(1.0), F.col("height"))),
-        "__fit": pl.line_fit(F.col("__tu"), F.col("__tv")),
-        "side_offset": distance,
-        "__scale": F.greatest(F.lit(1.0), F.least("width", "height")),
-    })
-    angle = F.col("__fit.angle")
-    values = rated.withColumns({
-        "line_err": F.col("__fit.err") / F.col("__scale"), "offset": F.col("side_offset") / F.col("__scale"),
-        "angle_err": F.when(level, F.least(angle, 180.0 - angle)).otherwise(F.abs(90.0 - angle)),
-    })
-    share = lambda value, limit: F.greatest(F.lit(0.0), 1.0 - F.col(value) / limit)
-    confidence = (
-        0.55 * F.least(F.lit(1.0), F.col("coverage")) + 0.20 * share("line_err", max_line_err)
-        + 0.15 * share("offset", max_offset) + 0.10 * share("angle_err", angle_tol)
-    )
-    usable = F.col("coverage") >= min_run
-    best = values.withColumn("confidence", confidence).groupBy("id", "side").agg(
-        F.max("judged").alias("judged"),
-        F.max(F.when(usable, F.struct("confidence", (-F.col("__no")).alias("first"), "coverage", "line_err", "offset", "angle_err"))).alias("best")
-    )
+    rows = _rated_sides(df, side_runs(near, min_run, max_line_err, max_offset, angle_tol, window, passes, trim), RUN)
+    best = rows.groupBy("id", "side").agg(F.max("judged").alias("judged"), F.max("rated").alias("best"))
     b = lambda c: F.col(f"best.{c}")
     border = (
         (b("line_err") <= max_line_err) & (b("offset") <= max_offset) & (b("angle_err") <= angle_tol) & (b("confidence") >= min_confidence)
@@ -201,7 +124,8 @@ METHODS = {
 def fragment_flags(sides: DataFrame) -> DataFrame:
     """Side rows to the flags and piece type of a fragment."""
     flag = lambda s: F.coalesce(F.bool_or(F.when(F.col("side") == s, F.col("border"))), F.lit(False))
-    wide = sides.groupBy("id").agg(*[flag(s).alias(f"has_{s}") for s in SIDE_EDGES])
+    judged = [F.max("judged").alias("judged")] if "judged" in sides.columns else []
+    wide = sides.groupBy("id").agg(*[flag(s).alias(f"has_{s}") for s in SIDE_EDGES], *judged)
     flags = [F.col(f"has_{s}") for s in SIDE_EDGES]
     kind = piece_type(*flags)
     return wide.withColumn("piece_type", kind).withColumn("edge_piece", kind != "interior")
@@ -217,10 +141,8 @@ def edges_by_method(df: DataFrame, method: str) -> DataFrame:
     if method not in METHODS:
         raise ValueError(f"Unsupported edge method: {method}")
     sides = METHODS[method](df)
-    found = fragment_flags(sides)
-    if "judged" in sides.columns:
-        found = found.join(sides.groupBy("id").agg(F.max("judged").alias("judged")), "id")
-    else:
+    found = fragment_flags(sides)  # with ``judged`` where the heuristic has it, so that it runs once
+    if "judged" not in found.columns:
         found = found.withColumn("judged", F.lit(True))
     rows = df.select("id", _outline_error().alias("error")).join(found, "id", "left")
     error = F.coalesce("error", F.when(~F.coalesce("judged", F.lit(False)), F.lit("Contour too small")))

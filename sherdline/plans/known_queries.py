@@ -20,7 +20,7 @@ from .registry import query
 def known_corners(src):
     """Curvature that is flat but for three to five spikes."""
     spikes = "transform(sequence(0, 199), i -> CASE WHEN i >= 20 + id % 7 AND (i - 20 - id % 7) % 40 = 0 AND (i - 20 - id % 7) / 40 < 3 + id % 3 THEN 1.0D ELSE 0.0D END)"
-    return src("fragments_v").select("id", F.posexplode(find_corners(F.expr(spikes))).alias("corner_no", "place")).select(
+    return src.spread("fragments_v").select("id", F.posexplode(find_corners(F.expr(spikes))).alias("corner_no", "place")).select(
         "id", F.col("corner_no").cast("long").alias("corner_no"), F.col("place").cast("long").alias("place")
     )
 
@@ -31,8 +31,10 @@ _TICKS = "SELECT id, string_agg(CAST(place AS VARCHAR), ',' ORDER BY place) AS p
 @query("known_ticks", "J2 J3 J4 J5 J6", f"SELECT id, places AS fixed, places AS adaptive, 40 AS pixels_per_unit, 'success' AS status FROM ({_TICKS}) t")
 def known_ticks(src):
     """Ruler profiles with a spike every 40 pixels, the first of them under the text."""
-    spikes = "transform(sequence(0, 999), i -> CASE WHEN i >= 100 + id % 11 AND (i - 100 - id % 11) % 40 = 0 AND (i - 100 - id % 11) / 40 < 5 + id % 6 THEN 100.0D ELSE 0.0D END)"
-    profiles = src("fragments_v").select("id", F.expr(spikes).alias("profile"), (F.col("id") % 4000).cast("double").alias("image_height"), F.lit(150).alias("text_end"))
+    zeros = "array_repeat(0.0D, CAST({} AS INT))".format
+    comb = f"flatten(array_repeat(concat(array(100.0D), {zeros(39)}), CAST(5 + id % 6 AS INT)))"
+    spikes = f"coalesce(concat({zeros('100 + id % 11')}, {comb}, {zeros('900 - id % 11 - 40 * (5 + id % 6)')}), {zeros(1000)})"
+    profiles = src.spread("fragments_v").select("id", F.expr(spikes).alias("profile"), (F.col("id") % 4000).cast("double").alias("image_height"), F.lit(150).alias("text_end"))
     record = ru.scale_record(F.col("ticks"), F.lit("mm"), "3.1")
     rows = ru.detect_ticks(profiles).withColumn("r", record)
     text = lambda c: F.array_join(F.transform(c, lambda t: t.cast("string")), ",").alias(c)
@@ -64,7 +66,7 @@ def known_placement(src):
 FROM (SELECT id, 4 + id % 5 AS w, 3 + id % 4 AS h, id % 13 - 6 AS dx, id % 7 - 3 AS dy FROM fragments_v) q""")
 def known_overlap(src):
     """Rectangles moved by whole cells."""
-    corners = src("fragments_v").selectExpr(
+    corners = src.spread("fragments_v").selectExpr(
         "id", "array(0.0D, 4.0D + id % 5, 4.0D + id % 5, 0.0D) AS x", "array(0.0D, 0.0D, 3.0D + id % 4, 3.0D + id % 4) AS y",
         "CAST(id % 13 - 6 AS DOUBLE) AS dx", "CAST(id % 7 - 3 AS DOUBLE) AS dy",
     )
@@ -80,7 +82,7 @@ CASE id % 2 WHEN 0 THEN w ELSE h END AS across, CASE id % 2 WHEN 0 THEN h ELSE w
 @query("known_overlap_turned", "I5", f"SELECT id, round(greatest(0, least(w, x + across) - greatest(0, x)) * greatest(0, least(h, y + down) - greatest(0, y)) / CAST(w * h AS DOUBLE), 6) AS overlap FROM ({_TURNED}) t")
 def known_overlap_turned(src):
     """Rectangles turned about a corner by quarters and moved by whole cells."""
-    corners = src("fragments_v").selectExpr(
+    corners = src.spread("fragments_v").selectExpr(
         "id", "array(0.0D, 4.0D + id % 5, 4.0D + id % 5, 0.0D) AS x", "array(0.0D, 0.0D, 3.0D + id % 4, 3.0D + id % 4) AS y",
         "CAST(id % 11 - 2 AS DOUBLE) AS dx", "CAST(id % 7 - 1 AS DOUBLE) AS dy", "90.0D * (id % 4) AS turn",
     )
@@ -92,7 +94,7 @@ def _rectangles(src, angle: str):
     """Outlines of rectangles about (300, 300) whose sides and angle depend on the row."""
     corners = [(-1, -1), (1, -1), (1, 1), (-1, 1)]
     at = lambda first, second, sign: ", ".join(f"300 + {i} * w * {first} {sign} ({j}) * h * {second}" for i, j in corners)
-    sized = src("fragments_v").selectExpr("id", "70.0D + id % 60 AS w", "40.0D + id % 25 AS h", f"radians({angle}) AS t", "CAST(20 + id % 100 AS DOUBLE) AS pixels_per_unit")
+    sized = src.spread("fragments_v").selectExpr("id", "70.0D + id % 60 AS w", "40.0D + id % 25 AS h", f"radians({angle}) AS t", "CAST(20 + id % 100 AS DOUBLE) AS pixels_per_unit")
     return sized.selectExpr("id", f"array({at('cos(t)', 'sin(t)', '-')}) AS xs", f"array({at('sin(t)', 'cos(t)', '+')}) AS ys", "pixels_per_unit")
 
 
