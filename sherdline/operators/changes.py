@@ -109,6 +109,12 @@ def update_rotations(table: DataFrame, rotations: DataFrame, order: str | None =
     return _apply(table, latest, "fragment_id", ["ui_rotation"], now if now is not None else F.current_timestamp())
 
 
+def _named(table: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """The rows of ``table`` whose ``key`` is in ``ids`` (``left_semi``) or is not (``left_anti``; a NULL key is not).
+    Each task holds its ids in a hash table and lets the rows pass, which a merge of sorted rows would keep in memory."""
+    return table.join(ids.hint("shuffle_hash"), key, how)
+
+
 class Remaining(NamedTuple):
     fragments: DataFrame
     project_fragments: DataFrame
@@ -212,14 +218,15 @@ def save_projects(project_fragments: DataFrame, states: DataFrame, saved: DataFr
         return F.when(F.coalesce(F.col(name), F.lit(0.0)) != 0, F.col(name)).otherwise(F.lit(default)).alias(name)
 
     size = lambda name: F.when(F.col(name) != 0, F.col(name)).alias(name)
-    rows = states.join(saved.select("project_id").distinct(), "project_id", "left_semi").select(
+    ids = saved.select("project_id").distinct()
+    rows = _named(states, ids, "project_id", "left_semi").select(
         "project_id", "fragment_id", "x", "y", size("width"), size("height"), number("rotation", 0.0),
         number("scale_x", 1.0), number("scale_y", 1.0),
         F.coalesce("is_locked", F.lit(False)).alias("is_locked"),
         F.coalesce("z_index", F.lit(0)).alias("z_index"),
         F.coalesce("show_segmented", F.lit(True)).alias("show_segmented"),
     )
-    kept = project_fragments.join(saved.select("project_id").distinct(), "project_id", "left_anti")
+    kept = _named(project_fragments, ids, "project_id", "left_anti")
     return kept.unionByName(rows, allowMissingColumns=True)
 
 
@@ -249,9 +256,8 @@ def rename_projects(projects: DataFrame, names: DataFrame, now: Column) -> DataF
 
 def delete_projects(projects: DataFrame, project_fragments: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     gone = ids.select("id").distinct()
-    return projects.join(gone, "id", "left_anti"), project_fragments.join(
-        gone.withColumnRenamed("id", "project_id"), "project_id", "left_anti"
-    )
+    of_project = gone.withColumnRenamed("id", "project_id")
+    return _named(projects, gone, "id", "left_anti"), _named(project_fragments, of_project, "project_id", "left_anti")
 
 
 def ensure_columns(df: DataFrame, spec: Mapping[str, str]) -> DataFrame:

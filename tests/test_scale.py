@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sherdline.functions import footprints, shapes
 from sherdline.operators import blocks
+from sherdline.operators import changes as ch
 from sherdline.operators import matching as mm
 from sherdline.plans import known_queries, matching_queries, views
 
@@ -105,3 +106,24 @@ def test_ruler_profiles_are_spread_and_the_same(spark, folder, monkeypatch):
     for r in rows:
         places = [100 + r.id % 11 + 40 * k for k in range(5 + r.id % 6)]
         assert r.fixed == r.adaptive == ",".join(str(p) for p in places if p > 150)
+
+
+def test_rows_of_named_projects_are_not_sorted(spark):
+    ids = spark.createDataFrame([(2,), (2,), (3,), (None,)], "id long")
+    projects = spark.createDataFrame([(1,), (1,), (2,), (None,)], "id long")
+    schema = "project_id long, fragment_id string, x double, y double, width double, height double, rotation double, scale_x double, scale_y double, is_locked boolean, z_index int, show_segmented boolean"
+    state = lambda project, name: (project, name, *[1.0] * 7, False, 1, True)
+    rows = spark.createDataFrame([state(1, "a"), state(2, "b"), state(2, "b"), state(None, "c"), state(4, "d"), state(4, "d")], schema)
+    states = spark.createDataFrame([state(3, "e"), state(3, "e"), state(4, "f"), state(None, "g")], schema)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for more ids than a broadcast may hold
+    try:
+        deleted = ch.delete_projects(projects, rows, ids)
+        saved = ch.save_projects(rows, states, ids.withColumnRenamed("id", "project_id"))
+        for df in (*deleted, saved):
+            assert "ShuffledHashJoin" in plan_of(df) and "SortMergeJoin" not in plan_of(df)
+        got = [sorted((r[0] or 0, *r[1:2]) for r in df.collect()) for df in (*deleted, saved)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    kept = [(0, "c"), (1, "a"), (4, "d"), (4, "d")]
+    assert got == [[(0,), (1,), (1,)], kept, sorted([*kept, (3, "e"), (3, "e")])]
