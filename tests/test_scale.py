@@ -1,5 +1,7 @@
 """What keeps jobs within memory and disk as their tables grow; every test builds its own rows."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -127,3 +129,39 @@ def test_rows_of_named_projects_are_not_sorted(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     kept = [(0, "c"), (1, "a"), (4, "d"), (4, "d")]
     assert got == [[(0,), (1,), (1,)], kept, sorted([*kept, (3, "e"), (3, "e")])]
+
+
+def tears(spark, n=300):
+    rng = np.random.default_rng(5)
+    make = lambda i: (i, f"F{i}A", "left", "tear", "s", i % 4, float(rng.uniform(1, 9)), *[rng.normal(size=m).tolist() for m in (80, 80, 16)], rng.uniform(size=8).tolist(), 1.0)
+    names = "edge_id long, fragment_id string, position string, edge_type string, script_type string, line_count int, length_cm double"
+    arrays = ", ".join(f"{c} array<double>" for c in ("shape_x", "shape_y", "fourier", "histogram"))
+    return spark.createDataFrame([make(i) for i in range(n)], f"{names}, {arrays}, radius_cm double")
+
+
+def test_rows_are_kept_once_and_only_block_rows_meet(spark, monkeypatch):
+    kept, reads = [], blocks._read
+    monkeypatch.setattr(blocks, "_store", lambda s, f, whole=blocks._store: (kept.append(whole(s, f)), kept[0])[1])
+    before = set(Path(blocks.shared_folder(spark).removeprefix("file:")).glob("blocks-*"))
+    found = mm.find_matches(tears(spark), 3, rows=16)
+    assert "radius_cm" not in plan_of(found)  # no row with arrays moves in the search
+    (folder,) = set(Path(kept[0].removeprefix("file:")).glob("blocks-*")) - before
+    names = [p.name.removeprefix("__block=") for p in folder.iterdir() if p.is_dir()]
+    assert len(names) > 8 and sorted(reads(str(folder), names)["edge_id"]) == list(range(300))
+
+
+def test_a_store_that_only_spark_opens_gives_the_same(spark, monkeypatch):
+    rows = lambda: sorted(map(tuple, mm.find_matches(tears(spark, 120), 3, rows=16).collect()))
+    opened = rows()
+    monkeypatch.setattr(blocks, "_opens", lambda address: False)
+    assert rows() == opened and len(opened) > 300
+
+
+def test_what_python_opens():
+    assert blocks._opens("file:/tmp/x") and blocks._opens("file:///tmp/x") and not blocks._opens("viewfs://store/x")
+
+
+def test_small_candidate_blocks_are_read_together(monkeypatch):
+    monkeypatch.setattr(blocks, "CARRIED", 10)
+    met = pd.DataFrame({"__c": list("abcd"), "__rows": [4, 6, 1, 30]})
+    assert list(blocks._together(met)) == [["a", "b"], ["c"], ["d"]]
