@@ -165,3 +165,13 @@ def test_small_candidate_blocks_are_read_together(monkeypatch):
     monkeypatch.setattr(blocks, "CARRIED", 10)
     met = pd.DataFrame({"__c": list("abcd"), "__rows": [4, 6, 1, 30]})
     assert list(blocks._together(met)) == [["a", "b"], ["c"], ["d"]]
+
+
+def test_rows_side_by_side_travel_once(spark):
+    ids = [0, 0, 3, 4, 4, 7, 8, 2046, 2047, 2050, 2051, 2055, -3, 1, None]
+    rows = spark.createDataFrame([(i, None if n % 3 == 0 else float(n), [float(n)] * 2) for n, i in enumerate(ids)], "id long, x double, v array<double>")
+    made = mm.side_by_side(rows, "id", 4, ["x", "v"])
+    show = lambda df: sorted(str(r) for r in df.select("id", "a.x", "a.v", F.col("b.x").alias("bx"), F.col("b.v").alias("bv")).collect())
+    a, b = rows.select("id", F.struct("x", "v").alias("a")), rows.select((F.col("id") - 4).alias("id"), F.struct("x", "v").alias("b"))
+    assert show(made) == show(a.join(b, "id")) and made.count() == 11
+    assert "Join" not in plan_of(made) and plan_of(made).count("RepartitionByExpression") + plan_of(made).count("Exchange") <= 1
