@@ -191,26 +191,46 @@ def crop_geometry(
     ``rescale_from_factor`` tells the two capped forms apart: shrinking the rounded size, or
     shrinking the factor and rounding again.
     """
-    x0 = F.greatest(F.lit(0), F.array_min(xs).cast("int") - pad)
-    y0 = F.greatest(F.lit(0), F.array_min(ys).cast("int") - pad)
-    x1 = F.least(width.cast("int") - 1, F.array_max(xs).cast("int") + pad)
-    y1 = F.least(height.cast("int") - 1, F.array_max(ys).cast("int") + pad)
-    w, h = (x1 - x0 + 1).cast("double"), (y1 - y0 + 1).cast("double")
-    known = pixels_per_unit > 0
-    factor = F.greatest(F.lit(0.05), F.lit(target) / pixels_per_unit)
-    at_least_3 = lambda v: F.greatest(F.lit(3.0), F.bround(v))
-    out_w, out_h = at_least_3(w * factor), at_least_3(h * factor)
-    cap = F.when(F.greatest(out_w, out_h) > longest, F.lit(float(longest)) / F.greatest(out_w, out_h))
-    if rescale_from_factor:
-        small_w, small_h, small = at_least_3(w * factor * cap), at_least_3(h * factor * cap), factor * cap
-    else:
-        small_w, small_h, small = at_least_3(out_w * cap), at_least_3(out_h * cap), factor
-    return F.struct(
-        x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"),
-        F.when(known, F.when(cap.isNull(), factor).otherwise(small)).otherwise(F.lit(1.0)).alias("factor"),
-        F.when(known, F.when(cap.isNull(), out_w).otherwise(small_w)).otherwise(w).cast("long").alias("out_width"),
-        F.when(known, F.when(cap.isNull(), out_h).otherwise(small_h)).otherwise(h).cast("long").alias("out_height"),
+    # each step is bound once: written out, the bounds would be sought again for every use, dozens of times
+    whole = lambda c: c.cast("int")
+    bounds = F.struct(
+        whole(F.array_min(xs)).alias("x0"), whole(F.array_max(xs)).alias("x1"), whole(F.array_min(ys)).alias("y0"), whole(F.array_max(ys)).alias("y1"),
+        whole(width).alias("width"), whole(height).alias("height"), pixels_per_unit.alias("ratio"),
     )
+    at_least_3 = lambda v: F.greatest(F.lit(3.0), F.bround(v))
+
+    def padded(b: Column) -> Column:
+        return F.struct(
+            F.greatest(F.lit(0), b["x0"] - pad).alias("x0"), F.greatest(F.lit(0), b["y0"] - pad).alias("y0"),
+            F.least(b["width"] - 1, b["x1"] + pad).alias("x1"), F.least(b["height"] - 1, b["y1"] + pad).alias("y1"),
+            (b["ratio"] > 0).alias("known"), F.greatest(F.lit(0.05), F.lit(target) / b["ratio"]).alias("factor"),
+        )
+
+    def sized(c: Column) -> Column:
+        w, h = ((c[f"{axis}1"] - c[f"{axis}0"] + 1).cast("double") for axis in "xy")
+        out = F.struct(c.alias("c"), w.alias("w"), h.alias("h"), at_least_3(w * c["factor"]).alias("out_w"), at_least_3(h * c["factor"]).alias("out_h"))
+        return pl.let(out, capped)
+
+    def capped(s: Column) -> Column:
+        larger = F.greatest(s["out_w"], s["out_h"])
+        return pl.let(F.struct(s.alias("s"), F.when(larger > longest, F.lit(float(longest)) / larger).alias("cap")), finished)
+
+    def finished(t: Column) -> Column:
+        s, cap = t["s"], t["cap"]
+        c, w, h, out_w, out_h = (s[n] for n in ("c", "w", "h", "out_w", "out_h"))
+        known, factor = c["known"], c["factor"]
+        if rescale_from_factor:
+            small_w, small_h, small = at_least_3(w * factor * cap), at_least_3(h * factor * cap), factor * cap
+        else:
+            small_w, small_h, small = at_least_3(out_w * cap), at_least_3(out_h * cap), factor
+        return F.struct(
+            *[c[n].alias(n) for n in ("x0", "y0", "x1", "y1")],
+            F.when(known, F.when(cap.isNull(), factor).otherwise(small)).otherwise(F.lit(1.0)).alias("factor"),
+            F.when(known, F.when(cap.isNull(), out_w).otherwise(small_w)).otherwise(w).cast("long").alias("out_width"),
+            F.when(known, F.when(cap.isNull(), out_h).otherwise(small_h)).otherwise(h).cast("long").alias("out_height"),
+        )
+
+    return pl.let(pl.let(bounds, padded), sized)
 
 
 # ---- class scores ----------------------------------------------------------------------------------------

@@ -175,3 +175,38 @@ def test_rows_side_by_side_travel_once(spark):
     a, b = rows.select("id", F.struct("x", "v").alias("a")), rows.select((F.col("id") - 4).alias("id"), F.struct("x", "v").alias("b"))
     assert show(made) == show(a.join(b, "id")) and made.count() == 11
     assert "Join" not in plan_of(made) and plan_of(made).count("RepartitionByExpression") + plan_of(made).count("Exchange") <= 1
+
+
+def test_few_angles_and_points_are_tried_for_the_smallest_box(monkeypatch):
+    rng = np.random.default_rng(9)
+    tried, whole = [], shapes._small_boxes
+    monkeypatch.setattr(shapes, "_small_boxes", lambda *a: (tried.append(whole(*a)), tried[-1])[1])
+    for n in range(60):
+        t = np.sort(rng.uniform(0, 2 * np.pi, 300))
+        x, y = 900 + 700 * np.cos(t + n) + rng.normal(0, 3, 300), 900 + rng.uniform(50, 700) * np.sin(t) + rng.normal(0, 3, 300)
+        x, y = shapes.dense_boundary(x, y)
+        x, y = (x, y) if n % 2 else (shapes._smoothed(x, 7, 2) * 0.37, shapes._smoothed(y, 7, 2) * 0.37)  # whole pixels or not
+        hull = shapes.hull_places(x, y)
+        hx, hy = x[hull], y[hull]
+        ax, ay, bx, by = hx[:, None], hy[:, None], np.roll(hx, -1)[:, None], np.roll(hy, -1)[:, None]
+        assert ((bx - ax) * (y - ay) - (by - ay) * (x - ax)).max() < 1e-6  # no point is outside, whatever was left out
+        edges = np.arctan2(np.roll(hy, -1) - hy, np.roll(hx, -1) - hx)
+        angles = np.unique(np.mod(edges + np.pi / 4, np.pi / 2) - np.pi / 4)
+        cos, sin = np.cos(angles)[:, None], np.sin(angles)[:, None]
+        every = np.ptp(hx * cos + hy * sin, axis=1) * np.ptp(hy * cos - hx * sin, axis=1)
+        assert shapes.min_area_angle(hx, hy) == angles[np.argmin(every)]
+        turned = shapes.min_area_angle(hx[::-1], hy[::-1])  # another ring, all angles
+        assert np.abs(angles[every <= every.min() * (1 + 1e-9)] - turned).min() < 1e-9
+    assert np.mean([t.mean() for t in tried if not t.all()]) < 0.2 and sum(not t.all() for t in tried) > 50
+
+
+def test_bounds_of_a_crop_are_sought_once(spark):
+    from sherdline.operators.model_outputs import crop_geometry
+
+    rows = spark.sql("SELECT array(100.5D, 400D, 250D) AS xs, array(50D, 9000D) AS ys, 50D AS r UNION ALL SELECT NULL, array(5D), NULL")
+    far = lambda c: F.array_max(c) + 5
+    crop = crop_geometry(F.col("xs"), F.col("ys"), far("xs"), far("ys"), F.col("r"), 100.0, 4, 8192, True)
+    assert str(crop).count("array_min(") == 2 and str(crop).count("array_max(") == 4
+    made = rows.select(crop.alias("c")).select("c.*")
+    got = sorted(made.collect(), key=str)
+    assert [tuple(r) for r in got] == [(0, 1, None, 9, 1.0, None, 9), (96, 46, 404, 9004, 8192 / 17918.0 * 2, 283, 8192)]
