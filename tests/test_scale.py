@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sherdline.functions import footprints, shapes
 from sherdline.operators import blocks
 from sherdline.operators import changes as ch
+from sherdline.operators import contours as ct
 from sherdline.operators import matching as mm
 from sherdline.plans import known_queries, matching_queries, views
 
@@ -210,3 +211,14 @@ def test_bounds_of_a_crop_are_sought_once(spark):
     made = rows.select(crop.alias("c")).select("c.*")
     got = sorted(made.collect(), key=str)
     assert [tuple(r) for r in got] == [(0, 1, None, 9, 1.0, None, 9), (96, 46, 404, 9004, 8192 / 17918.0 * 2, 283, 8192)]
+
+
+def test_reconstruct_moves_only_torn_outlines(spark, folder, monkeypatch):
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 10)
+    contours = views.Source(spark, folder)("contours_v")
+    edges = ct.extract_edges(contours)
+    below = plan_of(edges).split("RoundRobin")[-1]
+    assert "_rings" not in below and "_rings" in plan_of(edges)  # outlines are made after their rows are spread
+    torn = mm.torn_outlines(contours, edges)
+    assert sorted(r[0] for r in torn.select("id").collect()) == sorted({r[0] for r in edges.select("id").collect()})
+    assert 0 < torn.count() < contours.count()
