@@ -222,3 +222,27 @@ def test_reconstruct_moves_only_torn_outlines(spark, folder, monkeypatch):
     torn = mm.torn_outlines(contours, edges)
     assert sorted(r[0] for r in torn.select("id").collect()) == sorted({r[0] for r in edges.select("id").collect()})
     assert 0 < torn.count() < contours.count()
+
+
+@pytest.mark.parametrize("mode", ["window", "ratio"])
+def test_bounds_of_nearer_candidates_drop_no_match(monkeypatch, mode):
+    rng = np.random.default_rng(11)
+    made = lambda ids: pd.DataFrame({
+        "edge_id": ids, "base": [f"b{i % 40}" for i in ids], "line_count": [np.nan if i % 5 == 0 else float(i % 6) for i in ids], "length_cm": rng.uniform(1, 4, len(ids)),
+        "shape": [(np.ones(160) * (i % 3) + 0.01 * rng.normal(size=160)).round(3) for i in ids], "fourier": [rng.normal(size=16) * 0.1 for i in ids],
+        "histogram": [rng.uniform(size=8) for i in ids], "radius_cm": rng.uniform(1, 2, len(ids)),
+    })
+    q, c = made(np.arange(60)), made(np.arange(1000, 1400))
+    whole, looked = mm._parts, []
+    monkeypatch.setattr(mm, "_parts", lambda q, c, i, j: (looked.append(len(i)), whole(q, c, i, j))[1])
+    rows = lambda f: sorted(f.sort_values(["edge_a", "score", "edge_b"]).groupby("edge_a").head(3)[["edge_a", "score", "edge_b"]].itertuples(index=False, name=None))
+    plain = rows(mm._block_scorer(3, mode)(q, c))
+    monkeypatch.setattr(mm, "FIRST", 40)
+    assert rows(mm._block_scorer(3, mode)(q, c)) == plain and len(plain) > 150
+    order = {"score": True, "edge_b": True}
+    found = blocks._best(mm._block_scorer(3, mode)(q, c[:200]), "edge_a", 3, order)
+    bounded = q.assign(__bound=blocks.best_bound(q["edge_id"], [found], "edge_a", 3, order))
+    looked.clear()
+    later = mm._block_scorer(3, mode)(bounded, c[200:])
+    assert sum(looked) < 60 * 200 / 4  # pairs that cannot be among the best are not scored
+    assert rows(pd.concat([found, later])) == plain
